@@ -25,102 +25,83 @@ LINE_PATTERN = (
 TOKENS = ["host", "ident", "auth_user", "datetime", "method", "resource", "version", "status", "bytes"]
 # Protocols taken by the plain split; any other one goes through the pattern.
 _COMMON_PROTOCOLS = ['HTTP/1.0"', 'HTTP/1.1"', 'HTTP/2.0"']
-_SEPARATOR = "\n"
+_SEPARATOR = "\\n"
 _TOKEN_TEMPLATE = _SEPARATOR.join(f"${i + 1}" for i in range(len(TOKENS)))
 
 
-def _canonical(s: Column) -> Column:
-    """True when the ten space separated pieces have the exact shape of a well formed line."""
-    piece = lambda i: F.get(s, F.lit(i))
-    return (
-        (F.size(s) == 10)
-        & F.startswith(piece(3), F.lit("["))
-        & (F.instr(piece(3), F.lit("]")) == 0)
-        & (F.length(piece(4)) == 6)
-        & (F.instr(piece(4), F.lit("]")) == 6)
-        & piece(5).isin(['"' + m for m in METHODS])
-        & (piece(6) != "")
-        & ~piece(6).rlike(r'["\s]')
-        & piece(7).isin(_COMMON_PROTOCOLS)
-        & (piece(9) != "")
-    )
-
+_METHOD_PIECES = ", ".join(f"'\"{m}'" for m in METHODS)
+_PROTOCOL_PIECES = ", ".join(f"'{p}'" for p in _COMMON_PROTOCOLS)
 
-def _canonical_tokens(s: Column) -> Column:
-    piece = lambda i: F.get(s, F.lit(i))
-    return F.array(
-        piece(0),
-        piece(1),
-        piece(2),
-        F.concat(F.substring(piece(3), 2, 64), F.lit(" "), F.substring(piece(4), 1, 5)),
-        F.substring(piece(5), 2, 10),
-        piece(6),
-        F.substring(piece(7), 6, 3),
-        piece(8),
-        piece(9),
-    )
+# The ten space separated pieces `_s` have the exact shape of a well formed line.
+_CANONICAL = f"""
+    size(_s) = 10
+    AND startswith(get(_s, 3), '[') AND instr(get(_s, 3), ']') = 0
+    AND length(get(_s, 4)) = 6 AND instr(get(_s, 4), ']') = 6
+    AND get(_s, 5) IN ({_METHOD_PIECES})
+    AND get(_s, 6) <> '' AND NOT get(_s, 6) RLIKE r'["\\s]'
+    AND get(_s, 7) IN ({_PROTOCOL_PIECES})
+    AND get(_s, 9) <> ''"""
+_CANONICAL_TOKENS = """array(
+    get(_s, 0), get(_s, 1), get(_s, 2),
+    concat(substring(get(_s, 3), 2), ' ', substring(get(_s, 4), 1, 5)),
+    substring(get(_s, 5), 2), get(_s, 6), substring(get(_s, 7), 6, 3),
+    get(_s, 8), get(_s, 9))"""
 
 
-def strict_integer(text: Column, dtype: str) -> Column:
-    """Optional sign and digits only, null when malformed or out of the type's range.
+def strict_integer(text: str, dtype: str) -> str:
+    """SQL: optional sign and digits only, null when malformed or out of the type's range.
 
     The guard keeps `-` and the like off the cast, which is slow when it fails.
     """
-    return F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast(dtype))
+    return rf"CASE WHEN {text} RLIKE r'^[+-]?[0-9]+\z' THEN try_cast({text} AS {dtype}) END"
 
 
-def section(resource: Column) -> Column:
-    """Text from the first slash up to the second one, null without a second."""
-    from_first = F.substring(resource, F.instr(resource, F.lit("/")), F.length(resource))
-    second = F.locate("/", from_first, 2)
-    return F.when(
-        (F.instr(resource, F.lit("/")) > 0) & (second > 0),
-        F.substring(from_first, F.lit(1), second - 1),
+def section_sql(resource: str) -> str:
+    from_first = f"substring({resource}, instr({resource}, '/'))"
+    second = f"locate('/', {from_first}, 2)"
+    return (
+        f"CASE WHEN instr({resource}, '/') > 0 AND {second} > 0 "
+        f"THEN substring({from_first}, 1, {second} - 1) END"
     )
 
 
+def section(resource: str = "resource") -> Column:
+    """Text from the first slash up to the second one, null without a second."""
+    return F.expr(section_sql(resource))
+
+
 def parse_clf(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Add the typed access-log columns, `section` and `reject_reason` (null for a good line).
 
     All other columns of `lines` are kept. The parsed columns come out of a generator, which
     filters are not pushed below: a filter on a parsed column would otherwise re-run the parsing.
     """
-    keep = lines.columns
-    line = F.col(line_col)
-    pieces = lines.select(*keep, F.split(line, " ").alias("_s"))
-    tokens = pieces.select(
-        *keep,
-        F.when(_canonical(F.col("_s")), _canonical_tokens(F.col("_s")))
-        .otherwise(F.split(F.regexp_replace(line, LINE_PATTERN, _TOKEN_TEMPLATE), _SEPARATOR))
-        .alias("_t"),
-    )
-    token = {name: F.get(F.col("_t"), F.lit(i)) for i, name in enumerate(TOKENS)}
-    cut = tokens.select(*keep, "_t", datetime_parts(token["datetime"]).alias("_p"))
-    typed = cut.select(
-        *keep,
-        "_t",
-        datetime_from_parts(F.col("_p")).alias("_ts"),
-        strict_integer(token["status"], "int").alias("_status"),
-        strict_integer(token["bytes"], "long").alias("_bytes"),
-    )
-    reason = (
-        F.when(F.size("_t") != len(TOKENS), F.lit("structure"))
-        .when(F.col("_ts").isNull(), F.lit("datetime"))
-        .when(token["method"] == "", F.lit("request"))
-        .when(F.col("_status").isNull(), F.lit("status"))
-        .when(F.col("_bytes").isNull(), F.lit("bytes"))
+    keep = [f"`{c}`" for c in lines.columns]
+    token = {name: f"get(_t, {i})" for i, name in enumerate(TOKENS)}
+    by_pattern = (
+        f"split(regexp_replace(`{line_col}`, r'{LINE_PATTERN}', '{_TOKEN_TEMPLATE}'), '{_SEPARATOR}')"
     )
-    row = F.struct(
-        token["host"].alias("host"),
-        token["ident"].alias("ident"),
-        token["auth_user"].alias("auth_user"),
-        F.col("_ts").alias("ts"),
-        token["method"].alias("method"),
-        token["resource"].alias("resource"),
-        token["version"].alias("version"),
-        F.col("_status").alias("status"),
-        F.col("_bytes").alias("bytes"),
-        section(token["resource"]).alias("section"),
-        reason.alias("reject_reason"),
+    typed = (
+        lines.selectExpr(*keep, f"split(`{line_col}`, ' ') AS _s")
+        .selectExpr(*keep, f"CASE WHEN {_CANONICAL} THEN {_CANONICAL_TOKENS} ELSE {by_pattern} END AS _t")
+        .selectExpr(*keep, "_t", f"{datetime_parts(token['datetime'])} AS _p")
+        .selectExpr(
+            *keep,
+            "_t",
+            f"{datetime_from_parts('_p')} AS _ts",
+            f"{strict_integer(token['status'], 'INT')} AS _status",
+            f"{strict_integer(token['bytes'], 'BIGINT')} AS _bytes",
+        )
     )
-    return typed.select(*keep, F.inline(F.array(row)))
+    reason = f"""CASE
+        WHEN size(_t) <> {len(TOKENS)} THEN 'structure'
+        WHEN _ts IS NULL THEN 'datetime'
+        WHEN {token["method"]} = '' THEN 'request'
+        WHEN _status IS NULL THEN 'status'
+        WHEN _bytes IS NULL THEN 'bytes' END"""
+    row = f"""named_struct(
+        'host', {token["host"]}, 'ident', {token["ident"]}, 'auth_user', {token["auth_user"]},
+        'ts', _ts, 'method', {token["method"]}, 'resource', {token["resource"]},
+        'version', {token["version"]}, 'status', _status, 'bytes', _bytes,
+        'section', {section_sql(token["resource"])}, 'reject_reason', {reason})"""
+    return typed.selectExpr(*keep, f"inline(array({row}))")

@@ -1,4 +1,7 @@
-"""Reading and writing log timestamps. Everything is UTC at one second resolution."""
+"""Reading and writing log timestamps. Everything is UTC at one second resolution.
+
+Longer expressions are SQL text: one call to the JVM instead of hundreds.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,35 +26,38 @@ FIXED_PATTERN = (
 FIXED_PLACES = [(1, 2), (4, 3), (8, 4), (13, 2), (16, 2), (19, 2), (22, 5)]
 
 
-def datetime_parts(text: Column) -> Column:
-    """`d/M/yyyy:H:m:s Z` cut into its seven parts, null when that form is not followed."""
-    blanks = F.replace(F.replace(text, F.lit("/"), F.lit(" ")), F.lit(":"), F.lit(" "))
-    return F.when(
-        text.rlike(FIXED_PATTERN), F.array(*[F.substring(text, at, n) for at, n in FIXED_PLACES])
-    ).when(text.rlike(DATETIME_PATTERN), F.split(blanks, " "))
+def datetime_parts(text: str) -> str:
+    """SQL: the log datetime `text` cut into its seven parts, null when the form is not followed."""
+    places = ", ".join(f"substring({text}, {at}, {n})" for at, n in FIXED_PLACES)
+    return (
+        f"CASE WHEN {text} RLIKE r'{FIXED_PATTERN}' THEN array({places}) "
+        f"WHEN {text} RLIKE r'{DATETIME_PATTERN}' THEN split(replace(replace({text}, '/', ' '), ':', ' '), ' ') END"
+    )
 
 
-def datetime_from_parts(parts: Column) -> Column:
-    """Timestamp of `datetime_parts`; null when they are, or when there is no such day.
+def datetime_from_parts(parts: str) -> str:
+    """SQL: timestamp of `datetime_parts`; null when they are, or when there is no such day.
 
     The month is a number, a short or a full English name. Plain integer arithmetic: a pattern
     based parser pays for an exception on every row whose month form is not the first one tried.
     """
-    day, month, year, hour, minute, second, zone = (F.get(parts, F.lit(i)) for i in range(7))
-    name_pos = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(month))
-    month_number = F.when(F.substring(month, 1, 1) <= "9", month).when(
-        name_pos > 0, ((name_pos - 1) % 12 + 1).cast("string")
+    day, month, year, hour, minute, second, zone = (f"get({parts}, {i})" for i in range(7))
+    names = ", ".join(f"'{name}'" for name in MONTH_NAMES)
+    name_at = f"array_position(array({names}), lower({month}))"
+    number = (
+        f"CASE WHEN substring({month}, 1, 1) <= '9' THEN {month} "
+        f"WHEN {name_at} > 0 THEN CAST(({name_at} - 1) % 12 + 1 AS STRING) END"
     )
-    days = F.unix_date(F.concat_ws("-", year, month_number, day).try_cast("date"))
-    offset = zone.cast("int")  # +0130 is 130
-    shift = (offset / 100).cast("int") * 3600 + (offset % 100) * 60
-    of_day = hour.cast("int") * 3600 + minute.cast("int") * 60 + second.cast("int")
-    return F.timestamp_seconds(days.cast("long") * 86400 + (of_day - shift))
+    days = f"unix_date(try_cast(concat({year}, '-', {number}, '-', {day}) AS DATE))"
+    of_day = f"CAST({hour} AS INT) * 3600 + CAST({minute} AS INT) * 60 + CAST({second} AS INT)"
+    offset = f"CAST({zone} AS INT)"  # +0130 is 130
+    shift = f"({offset} DIV 100 * 3600 + {offset} % 100 * 60)"
+    return f"timestamp_seconds(CAST({days} AS BIGINT) * 86400 + ({of_day} - {shift}))"
 
 
-def parse_datetime(text: Column) -> Column:
-    """Log datetime text to timestamp, null when malformed."""
-    return datetime_from_parts(datetime_parts(text))
+def parse_datetime(column: str) -> Column:
+    """Timestamp of a log datetime column, null when malformed."""
+    return F.expr(datetime_from_parts(datetime_parts(column)))
 
 
 def format_datetime(ts: Column) -> Column:

@@ -57,20 +57,19 @@ def first_timestamp(log: DataFrame, *, ts: str = "ts", keys: Sequence[str] = ())
     return found.select(*keys, F.coalesce(F.unix_millis("_ts"), F.lit(-1).cast("long")).alias("first_millis"))
 
 
+_EVENT, _PROBE = 1, 2
+
+
 def _neighbours(probes: DataFrame, log: DataFrame, probe_ts: str, ts: str, keys: Sequence[str], resolution: str):
     """Per distinct probe position: is there an event, the one before, the one after."""
     tick, blocks = RESOLUTIONS[resolution]
-    positions = (
-        log.select(*keys, tick(F.col(ts)).alias("at"), F.lit(True).alias("event"), F.lit(False).alias("probe"))
-        .unionByName(
-            probes.select(*keys, tick(F.col(probe_ts)).alias("at"), F.lit(False).alias("event"), F.lit(True).alias("probe"))
-        )
-        .groupBy(*keys, "at")
-        .agg(F.max("event").alias("event"), F.max("probe").alias("probe"))
-    )
-    event_at = F.when(F.col("event"), F.col("at"))
-    around = scan(positions, "at", keys=keys, lasts={"before": event_at}, nexts={"after": event_at}, blocks=blocks)
-    return around.where("probe"), tick
+    place = lambda df, column, kind: df.select(*keys, tick(F.col(column)).alias("at"), F.lit(kind).alias("kind"))
+    positions = place(log, ts, _EVENT).unionByName(place(probes, probe_ts, _PROBE))
+    distinct = positions.groupBy(*keys, "at").agg(F.bit_or("kind").alias("kind"))
+    has = lambda kind: F.col("kind").bitwiseAND(F.lit(kind)) != 0
+    event_at = F.when(has(_EVENT), F.col("at"))
+    around = scan(distinct, "at", keys=keys, lasts={"before": event_at}, nexts={"after": event_at}, blocks=blocks)
+    return around.where(has(_PROBE)).withColumn("event", has(_EVENT)), tick
 
 
 def next_after(

@@ -1,9 +1,11 @@
 """Assigning log rows to periods: fixed grid, several lengths at once, anchored on the data."""
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from trafficlens.operators.scan import DAY_SECS, match, scan
 from trafficlens.schema import require_positive
 
 
+# The helpers below run inside tasks; sent by value they need no installation on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A second before any log row: a new period may start at once.
 _NEVER = -(2**62)
 

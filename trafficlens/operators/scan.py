@@ -37,9 +37,8 @@ def scan(
 
     size = F.lit(int(blocks[0])).cast("long")
     values = {**totals, **lasts, **nexts}
-    marked = rows.withColumns(
-        {_BLOCK: (F.col(position) - F.pmod(F.col(position), size)) / size, **{f"_v_{n}": c for n, c in values.items()}}
-    ).withColumn(_BLOCK, F.col(_BLOCK).cast("long"))
+    block = F.call_function("div", F.col(position) - F.pmod(F.col(position), size), size)
+    marked = rows.withColumns({_BLOCK: block, **{f"_v_{n}": c for n, c in values.items()}})
     value = {n: F.col(f"_v_{n}") for n in values}
     pick = lambda names: {n: value[n] for n in names}
 
@@ -50,6 +49,7 @@ def scan(
         *[F.sum(value[n]).alias(f"_v_{n}") for n in totals],
         *[F.max_by(value[n], at(n)).alias(f"_v_{n}") for n in lasts],
         *[F.min_by(value[n], at(n)).alias(f"_v_{n}") for n in nexts],
+        whole_row(rows).alias("_whole"),
     )
     renamed = lambda names: {f"_carry_{n}": value[n] for n in names}
     carried = scan(
@@ -60,9 +60,9 @@ def scan(
         lasts=renamed(lasts),
         nexts=renamed(nexts),
         blocks=blocks[1:],
-    ).select(*keys, F.col("_at").alias(_BLOCK), *[f"_carry_{n}" for n in values])
+    ).select(*keys, F.col("_at").alias(_BLOCK), *[f"_carry_{n}" for n in values], "_whole")
 
-    joined = match(inside, carried, [*keys, _BLOCK])
+    joined = match(inside, carried, [*keys, _BLOCK]).where(F.col("_whole").isNotNull())
     return joined.select(
         *rows.columns,
         *[(F.col(f"_in_{n}") + F.col(f"_carry_{n}")).alias(n) for n in totals],
@@ -70,6 +70,16 @@ def scan(
     )
 
 
+def whole_row(rows: DataFrame) -> Column:
+    """An aggregate that needs every column of `rows`, for a side branch that is joined back.
+
+    A branch that reads fewer columns than its sibling gets a plan of its own, down to a second scan
+    of the log. With the same columns Spark shares the exchange below both. Filter on not null (it
+    always is) to keep the column from being pruned.
+    """
+    return F.max(F.xxhash64(*[F.col(c) for c in rows.columns]))
+
+
 def match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on `on` that keeps null keys together; the right copies of `on` are dropped."""
     theirs = right.withColumnsRenamed({c: f"_right_{c}" for c in on})

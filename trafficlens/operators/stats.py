@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trafficlens.functions import derive
 from trafficlens.functions.clock import epoch_second, floor_to, from_epoch
 from trafficlens.operators.periods import anchored_periods, with_period_lengths
-from trafficlens.operators.scan import DAY_SECS, match, scan
+from trafficlens.operators.scan import DAY_SECS, match, scan, whole_row
 from trafficlens.schema import require_positive
 
 DIMENSIONS = ["section", "method", "version", "category"]
@@ -70,10 +70,10 @@ def in_anchored_periods(
     The log is folded to seconds before it meets the periods, so a busy second is no join hot spot.
     """
     seconds = rollup(partials(log, keys=keys), 1, keys=keys, dims=dims)
-    occupied = seconds.select(*keys, "sec").distinct() if dims else seconds.select(*keys, "sec")
-    return match(
-        seconds, anchored_periods(occupied, period_secs, keys=keys, block_secs=block_secs), [*keys, "sec"]
-    )
+    occupied = seconds.groupBy(*keys, "sec").agg(whole_row(seconds).alias("_whole"))
+    occupied = occupied.where(F.col("_whole").isNotNull()).select(*keys, "sec")
+    periods = anchored_periods(occupied, period_secs, keys=keys, block_secs=block_secs)
+    return match(seconds, periods, [*keys, "sec"])
 
 
 def period_stats(placed: DataFrame, period_secs: int, *, keys: Sequence[str] = ()) -> DataFrame:

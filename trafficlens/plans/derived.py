@@ -1,7 +1,6 @@
 """An access log derived from the `events` table, one request per event."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from trafficlens.functions.clf import section
 
@@ -14,8 +13,8 @@ _STATUSES = [200, 201, 301, 404, 503, 100]
 MALFORMED = [(89, "structure"), (79, "datetime"), (83, "request"), (73, "status"), (97, "bytes")]
 
 
-def _cycle(values: list) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values)).cast("int"))
+def _cycle(values: list) -> str:
+    return f"get(array({', '.join(repr(v) for v in values)}), CAST(event_id % {len(values)} AS INT))"
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,64 +23,42 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def access_log(events: DataFrame) -> DataFrame:
     """`event_id` and the columns of a parsed access log, `section` included."""
-    user = F.col("user_id")
-    resource = F.when(
-        F.col("event_id") % 5 == 0, F.concat(F.lit("/"), F.col("event_type"))
-    ).otherwise(
-        F.concat(F.lit("/"), F.col("event_type"), F.lit("/"), (user % 10).cast("string"), F.lit("/item"))
-    )
-    rows = events.select(
+    rows = events.selectExpr(
         "event_id",
-        F.concat(
-            F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string")
-        ).alias("host"),
-        F.lit("-").alias("ident"),
-        F.concat(F.lit("u"), user.cast("string")).alias("auth_user"),
-        F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"),
-        _cycle(_METHODS).alias("method"),
-        resource.alias("resource"),
-        _cycle(_VERSIONS).alias("version"),
-        _cycle(_STATUSES).cast("int").alias("status"),
-        F.floor(F.col("value") * 100).cast("long").alias("bytes"),
+        "concat('10.0.', user_id DIV 256, '.', user_id % 256) AS host",
+        "'-' AS ident",
+        "concat('u', user_id) AS auth_user",
+        "date_trunc('second', CAST(ts AS TIMESTAMP)) AS ts",
+        f"{_cycle(_METHODS)} AS method",
+        "CASE WHEN event_id % 5 = 0 THEN concat('/', event_type) "
+        "ELSE concat('/', event_type, '/', user_id % 10, '/item') END AS resource",
+        f"{_cycle(_VERSIONS)} AS version",
+        f"{_cycle(_STATUSES)} AS status",
+        "CAST(floor(value * 100) AS BIGINT) AS bytes",
     )
-    return rows.withColumn("section", section(F.col("resource")))
+    return rows.withColumn("section", section())
 
 
 def log_lines(events: DataFrame) -> DataFrame:
     """`event_id, line`: the log as text, in two zones and three month forms, some lines malformed."""
-    rows = access_log(events)
-    event = F.col("event_id")
-    hour_ahead = event % 4 == 0
-    local = F.when(hour_ahead, F.col("ts") + F.expr("interval 1 hour")).otherwise(F.col("ts"))
-    zone = F.when(hour_ahead, F.lit(" +0100")).otherwise(F.lit(" +0000"))
+    reasons = " ".join(f"WHEN event_id % {every} = 0 THEN '{why}'" for every, why in MALFORMED)
+    rows = access_log(events).selectExpr(
+        "*",
+        "CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts END AS local",
+        "CASE WHEN event_id % 4 = 0 THEN ' +0100' ELSE ' +0000' END AS zone",
+        f"coalesce(CASE {reasons} END, '') AS why",
+    )
     month = (
-        F.when(event % 3 == 0, F.date_format(local, "MM"))
-        .when(event % 3 == 1, F.date_format(local, "MMM"))
-        .otherwise(F.date_format(local, "MMMM"))
+        "CASE event_id % 3 WHEN 0 THEN date_format(local, 'MM') "
+        "WHEN 1 THEN date_format(local, 'MMM') ELSE date_format(local, 'MMMM') END"
     )
-    datetime = F.concat(
-        F.date_format(local, "dd"), F.lit("/"), month, F.lit("/"), F.date_format(local, "yyyy:HH:mm:ss"), zone
+    datetime = (
+        "CASE why WHEN 'datetime' THEN '02/Nov/2020:10 +0100' ELSE "
+        f"concat(date_format(local, 'dd'), '/', {month}, '/', date_format(local, 'yyyy:HH:mm:ss'), zone) END"
     )
-    why = malformed_reason(event)
-    is_bad = lambda reason: why.eqNullSafe(F.lit(reason))
-    line = F.concat(
-        F.col("host"),
-        F.when(is_bad("structure"), F.lit("")).otherwise(F.concat(F.lit(" "), F.col("ident"))),
-        F.lit(" "), F.col("auth_user"), F.lit(" ["),
-        F.when(is_bad("datetime"), F.lit("02/Nov/2020:10 +0100")).otherwise(datetime),
-        F.lit('] "'),
-        F.when(is_bad("request"), F.lit("TRACE")).otherwise(F.col("method")),
-        F.lit(" "), F.col("resource"), F.lit(" HTTP/"), F.col("version"), F.lit('" '),
-        F.when(is_bad("status"), F.lit("abc")).otherwise(F.col("status").cast("string")),
-        F.lit(" "),
-        F.when(is_bad("bytes"), F.lit("-")).otherwise(F.col("bytes").cast("string")),
-    )
-    return rows.select("event_id", line.alias("line"))
-
-
-def malformed_reason(event: Column) -> Column:
-    first, *others = MALFORMED
-    why = F.when(event % first[0] == 0, F.lit(first[1]))
-    for every, reason in others:
-        why = why.when(event % every == 0, F.lit(reason))
-    return why
+    line = f"""concat(
+        host, CASE why WHEN 'structure' THEN '' ELSE concat(' ', ident) END, ' ', auth_user,
+        ' [', {datetime}, '] "', CASE why WHEN 'request' THEN 'TRACE' ELSE method END, ' ', resource,
+        ' HTTP/', version, '" ', CASE why WHEN 'status' THEN 'abc' ELSE CAST(status AS STRING) END,
+        ' ', CASE why WHEN 'bytes' THEN '-' ELSE CAST(bytes AS STRING) END)"""
+    return rows.selectExpr("event_id", f"{line} AS line")

@@ -102,7 +102,7 @@ def access_log_table(spark, sf_dir):
 @query
 def section_of(spark, sf_dir):
     log = _log(spark, sf_dir).drop("section")
-    return log.select("event_id", "resource", clf.section(F.col("resource")).alias("section"))
+    return log.select("event_id", "resource", clf.section().alias("section"))
 
 
 @query

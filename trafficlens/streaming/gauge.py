@@ -23,7 +23,7 @@ from trafficlens.operators.scan import DAY_SECS, match
 from trafficlens.schema import require_positive
 from trafficlens.sources.text_log import good_rows
 
-_STATE = ["bucket", "hits", "first_ts", "limit_ts", "initial"]
+_HITS = ["bucket", "hits", "first_ts", "limit_ts"]
 
 
 def closed_buckets(
@@ -37,33 +37,40 @@ def closed_buckets(
     ).agg(F.count("*").alias("_n")).select(*keys, "window", "ts_micros", "_n")
 
 
-def advance(
+def judge(
     state: DataFrame | None, new_hits: DataFrame, period_secs: int, threshold: float, *,
     bucket_secs: int = 1, keys: Sequence[str] = (), anchored: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Crossings brought by `new_hits`, and the state after them. Both derive from one plan."""
-    hits = [c for c in _STATE if c != "initial"]
-    fresh = new_hits.select(*keys, *hits)
+) -> DataFrame:
+    """Average and state of the buckets in `state` and `new_hits`.
+
+    `is_new` marks buckets not judged before: known ones were, except the last of each key.
+    """
+    fresh = new_hits.select(*keys, *_HITS)
     if state is None:
-        rows = fresh.withColumns({"initial": F.lit(False), "_seen": F.lit(None).cast("long")})
+        rows = fresh.withColumns({"initial": F.lit(False), "is_new": F.lit(True)})
     else:
-        # Known buckets up to the last one were judged before; the last one was not.
-        known = state.groupBy(*keys).agg(F.first("initial").alias("initial"), F.max("bucket").alias("_seen"))
-        rows = _per_key(state.select(*keys, *hits).unionByName(fresh), known, keys)
-        rows = rows.withColumn("initial", F.coalesce("initial", F.lit(False)))
+        known = state.groupBy(*keys).agg(F.first("initial").alias("_initial"), F.max("bucket").alias("_seen"))
+        rows = _per_key(state.select(*keys, *_HITS).unionByName(fresh), known, keys).select(
+            *keys,
+            *_HITS,
+            F.coalesce("_initial", F.lit(False)).alias("initial"),
+            F.coalesce(F.col("bucket") >= F.col("_seen"), F.lit(True)).alias("is_new"),
+        )
     placed = in_gauge_periods(rows, period_secs, keys=keys, anchored=anchored)
     averages = running_average(placed, bucket_secs=bucket_secs, keys=keys)
-    states = traffic_state(averages, threshold, keys=keys, block_secs=max(DAY_SECS, 1000 * bucket_secs))
-    is_new = F.col("_seen").isNull() | (F.col("bucket") >= F.col("_seen"))
-    crossed = crossings(states.where(is_new), threshold, keys=keys)
-    open_period = (
+    return traffic_state(averages, threshold, keys=keys, block_secs=max(DAY_SECS, 1000 * bucket_secs))
+
+
+def open_state(states: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """The buckets of each key's newest period, with the state the gauge had at its start."""
+    newest = (
         states.groupBy(*keys, "period_start_sec")
         .agg(F.min_by("was_high", "bucket").alias("_start"))
         .groupBy(*keys)
         .agg(F.max("period_start_sec").alias("_open"), F.max_by("_start", "period_start_sec").alias("_start"))
     )
-    kept = _per_key(states.drop("initial"), open_period, keys).where(F.col("period_start_sec") == F.col("_open"))
-    return crossed, kept.select(*keys, *hits, F.col("_start").alias("initial"))
+    kept = _per_key(states, newest, keys).where(F.col("period_start_sec") == F.col("_open"))
+    return kept.select(*keys, *_HITS, F.col("_start").alias("initial"))
 
 
 def _per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,14 +96,15 @@ def start_gauge(
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         per_ts = batch.select(*keys, F.timestamp_micros("ts_micros").alias("ts"), "_n")
-        hits = bucket_counts(per_ts, bucket_secs=bucket_secs, threshold=threshold, keys=keys).persist()
+        hits = bucket_counts(per_ts, bucket_secs=bucket_secs, threshold=threshold, keys=keys)
         state = spark.read.parquet(slot(batch_id - 1)) if batch_id else None
-        crossed, after = advance(
+        states = judge(
             state, hits, period_secs, threshold, bucket_secs=bucket_secs, keys=keys, anchored=anchored
-        )
+        ).persist()
+        crossed = crossings(states.where("is_new"), threshold, keys=keys)
         alerts(crossed, threshold, keys=keys).write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
-        after.write.mode("overwrite").parquet(slot(batch_id))
-        hits.unpersist()
+        open_state(states, keys=keys).write.mode("overwrite").parquet(slot(batch_id))
+        states.unpersist()
 
     writer = (
         closed_buckets(parsed, bucket_secs, delay=delay, keys=keys)
