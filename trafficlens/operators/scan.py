@@ -35,6 +35,7 @@ def scan(
     if not blocks:
         return _within(rows, [*keys], position, totals, lasts, nexts)
 
+    whole = f"_whole{len(blocks)}"
     size = F.lit(int(blocks[0])).cast("long")
     values = {**totals, **lasts, **nexts}
     block = F.call_function("div", F.col(position) - F.pmod(F.col(position), size), size)
@@ -49,7 +50,7 @@ def scan(
         *[F.sum(value[n]).alias(f"_v_{n}") for n in totals],
         *[F.max_by(value[n], at(n)).alias(f"_v_{n}") for n in lasts],
         *[F.min_by(value[n], at(n)).alias(f"_v_{n}") for n in nexts],
-        whole_row(rows).alias("_whole"),
+        whole_row(rows).alias(whole),
     )
     renamed = lambda names: {f"_carry_{n}": value[n] for n in names}
     carried = scan(
@@ -60,9 +61,9 @@ def scan(
         lasts=renamed(lasts),
         nexts=renamed(nexts),
         blocks=blocks[1:],
-    ).select(*keys, F.col("_at").alias(_BLOCK), *[f"_carry_{n}" for n in values], "_whole")
+    ).select(*keys, F.col("_at").alias(_BLOCK), *[f"_carry_{n}" for n in values], whole)
 
-    joined = match(inside, carried, [*keys, _BLOCK]).where(F.col("_whole").isNotNull())
+    joined = match(inside, carried, [*keys, _BLOCK]).where(F.col(whole).isNotNull())
     return joined.select(
         *rows.columns,
         *[(F.col(f"_in_{n}") + F.col(f"_carry_{n}")).alias(n) for n in totals],
