@@ -11,10 +11,9 @@ def spark(tmp_path_factory):
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="6g",
-        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -14,7 +14,7 @@ from trafficlens.schema import (
     STATS_PERIOD_SECS,
     require_positive,
 )
-from trafficlens.session import shared_path, use_utc
+from trafficlens.session import shared_path, prepare
 from trafficlens.sources.text_log import (
     LineParser,
     good_rows,
@@ -56,7 +56,7 @@ def analyse(
     """
     require_positive("stats_period", stats_period)
     require_positive("gauge_period", gauge_period)
-    use_utc(spark)
+    prepare(spark)
     parsed = read_log(spark, path, parser)
     table = table or shared_path(spark, "access-log")
     write_access_log(good_rows(parsed), table)

@@ -15,7 +15,7 @@ from trafficlens.functions.clock import display_datetime, from_epoch, naive
 from trafficlens.operators import gauge, lookup, periods, stats
 from trafficlens.plans import report
 from trafficlens.plans.derived import access_log, load_events, log_lines
-from trafficlens.session import shared_path, use_utc
+from trafficlens.session import shared_path, prepare
 from trafficlens.sources import text_log
 from trafficlens.streaming import gauge as stream_gauge
 from trafficlens.streaming import stats as stream_stats
@@ -36,7 +36,7 @@ REGISTRY: dict[str, Query] = {}
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _naive_times(fn(use_utc(spark), sf_dir))
+        return _naive_times(fn(prepare(spark), sf_dir))
 
     REGISTRY[fn.__name__] = run
     return run

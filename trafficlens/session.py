@@ -6,10 +6,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings the results or the speed of every query rely on; they can be set at run time.
+# All times in a log are UTC. The JVM never compiles a method of more than 8,000 bytes: a stage
+# whose generated code is longer is better run operator by operator.
+QUERY_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
 def build_session(app: str = "trafficlens", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the library is tuned for; `conf` overrides (dots as `__`)."""
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **QUERY_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -24,9 +33,10 @@ def build_session(app: str = "trafficlens", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Every time in a log is UTC, so is the session; settable at run time."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Give a session that was built elsewhere the settings queries rely on."""
+    for key, value in QUERY_SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 

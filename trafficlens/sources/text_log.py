@@ -36,7 +36,7 @@ def stream_lines(
     *,
     start_from: datetime | None = None,
     max_files: int | None = None,
-    max_bytes: str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Lines of files as they arrive in the landing folder `path`, each file read exactly once.
 
