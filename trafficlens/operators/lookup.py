@@ -126,8 +126,16 @@ def retention_tail(log: DataFrame, lengths: Sequence[int], *, ts: str = "ts") ->
 
 
 def append_batches(*batches: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
-    """All rows of all batches in time order (range partitioned sort)."""
-    combined = batches[0]
-    for batch in batches[1:]:
+    """All rows of all batches in time order; rows of one time keep the order they arrived in.
+
+    A range partitioned sort. The arrival order also lets Spark divide a moment that holds a large
+    share of the rows among several partitions.
+    """
+    arrived = [
+        batch.withColumns({"_batch": F.lit(i), "_arrival": F.monotonically_increasing_id()})
+        for i, batch in enumerate(batches)
+    ]
+    combined = arrived[0]
+    for batch in arrived[1:]:
         combined = combined.unionByName(batch)
-    return combined.orderBy(*order)
+    return combined.orderBy(*order, "_batch", "_arrival").drop("_batch", "_arrival")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.functions.clf import section
+from trafficlens.functions.clf import section_sql
 
 # What the derived requests use, by event number.
 _METHODS = ["GET", "HEAD", "POST", "PUT", "PATCH", "DELETE", "OPTIONS"]
@@ -23,20 +23,23 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def access_log(events: DataFrame) -> DataFrame:
     """`event_id` and the columns of a parsed access log, `section` included."""
-    rows = events.selectExpr(
+    resource = (
+        "CASE WHEN event_id % 5 = 0 THEN concat('/', event_type) "
+        "ELSE concat('/', event_type, '/', user_id % 10, '/item') END"
+    )
+    return events.selectExpr(
         "event_id",
         "concat('10.0.', user_id DIV 256, '.', user_id % 256) AS host",
         "'-' AS ident",
         "concat('u', user_id) AS auth_user",
         "date_trunc('second', CAST(ts AS TIMESTAMP)) AS ts",
         f"{_cycle(_METHODS)} AS method",
-        "CASE WHEN event_id % 5 = 0 THEN concat('/', event_type) "
-        "ELSE concat('/', event_type, '/', user_id % 10, '/item') END AS resource",
+        f"{resource} AS resource",
         f"{_cycle(_VERSIONS)} AS version",
         f"{_cycle(_STATUSES)} AS status",
         "CAST(floor(value * 100) AS BIGINT) AS bytes",
+        f"{section_sql(f'({resource})')} AS section",
     )
-    return rows.withColumn("section", section())
 
 
 def log_lines(events: DataFrame) -> DataFrame:

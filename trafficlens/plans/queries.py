@@ -44,9 +44,8 @@ def query(fn: Query) -> Query:
 
 def _naive_times(df: DataFrame) -> DataFrame:
     """Results carry timestamps without a zone."""
-    return df.select(
-        *[naive(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in df.schema]
-    )
+    zoned = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({name: naive(F.col(name)) for name in zoned}) if zoned else df
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,7 +433,7 @@ def append_batches(spark, sf_dir):
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.floor("o_totalprice").cast("long").alias("bytes"),
     )
-    return lookup.append_batches(log, orders, order=["ts", "source", "id"])
+    return lookup.append_batches(log, orders)
 
 
 @query

@@ -49,7 +49,7 @@ def judge(
     if state is None:
         rows = fresh.withColumns({"initial": F.lit(False), "is_new": F.lit(True)})
     else:
-        known = state.groupBy(*keys).agg(F.first("initial").alias("_initial"), F.max("bucket").alias("_seen"))
+        known = state.groupBy(*keys).agg(F.max("initial").alias("_initial"), F.max("bucket").alias("_seen"))
         rows = _per_key(state.select(*keys, *_HITS).unionByName(fresh), known, keys).select(
             *keys,
             *_HITS,
@@ -78,7 +78,8 @@ def _per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFr
     if keys:
         return match(rows, per_key, keys, "left")
     one = F.lit(1)
-    return match(rows.withColumn("_one", one), per_key.withColumn("_one", one), ["_one"], "left").drop("_one")
+    single = F.broadcast(per_key.withColumn("_one", one))  # exactly one row
+    return match(rows.withColumn("_one", one), single, ["_one"], "left").drop("_one")
 
 
 def start_gauge(
