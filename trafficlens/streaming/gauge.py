@@ -96,8 +96,9 @@ def start_gauge(
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # Kept because several branches start here: the stateful stream must run once per batch.
         per_ts = batch.select(*keys, F.timestamp_micros("ts_micros").alias("ts"), "_n")
-        hits = bucket_counts(per_ts, bucket_secs=bucket_secs, threshold=threshold, keys=keys)
+        hits = bucket_counts(per_ts, bucket_secs=bucket_secs, threshold=threshold, keys=keys).persist()
         state = spark.read.parquet(slot(batch_id - 1)) if batch_id else None
         states = judge(
             state, hits, period_secs, threshold, bucket_secs=bucket_secs, keys=keys, anchored=anchored
@@ -106,6 +107,7 @@ def start_gauge(
         alerts(crossed, threshold, keys=keys).write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
         open_state(states, keys=keys).write.mode("overwrite").parquet(slot(batch_id))
         states.unpersist()
+        hits.unpersist()
 
     writer = (
         closed_buckets(parsed, bucket_secs, delay=delay, keys=keys)
