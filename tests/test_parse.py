@@ -77,6 +77,7 @@ CASES = [
     ("", "structure"),
     ("\r", "structure"),
     ("garbage", "structure"),
+    ("\n".join("a - b 1/1/2020:0:0:0_+0000 GET /x 1.0 200 5".split()), "structure"),
 ]
 
 

@@ -13,7 +13,7 @@ from trafficlens.schema import METHODS
 
 # One separator is exactly one space; text tokens may be empty; any one character may follow the
 # closing bracket and the closing quote; one trailing space is tolerated. A request of another form
-# leaves its three groups empty. A line never holds a line feed, so that is the group separator.
+# leaves its three groups empty. Lines of a file hold no line feed, so that is the group separator.
 _END_OF_LINE = r"(?:\r|\x{85}|\x{2028}|\x{2029})?"
 LINE_PATTERN = (
     r"(?s)^([^ ]*+) ([^ ]*+) ([^ ]*+) \[([^\]]*+)\]."
@@ -83,7 +83,11 @@ def parse_clf(lines: DataFrame, line_col: str = "line") -> DataFrame:
     )
     typed = (
         lines.selectExpr(*keep, f"split(`{line_col}`, ' ') AS _s")
-        .selectExpr(*keep, f"CASE WHEN {_CANONICAL} THEN {_CANONICAL_TOKENS} ELSE {by_pattern} END AS _t")
+        .selectExpr(
+            *keep,
+            f"CASE WHEN {_CANONICAL} THEN {_CANONICAL_TOKENS} "
+            f"WHEN instr(`{line_col}`, '{_SEPARATOR}') > 0 THEN array(`{line_col}`) ELSE {by_pattern} END AS _t",
+        )
         .selectExpr(*keep, "_t", f"{datetime_parts(token['datetime'])} AS _p")
         .selectExpr(
             *keep,
