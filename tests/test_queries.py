@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import differences, duck
+from trafficlens.plans.oracle import ORACLE
+from trafficlens.plans.queries import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = driver.queries()
-ORACLE = driver.oracle_sql()
+QUERIES = REGISTRY
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +20,8 @@ def con():
 
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -1,9 +1,9 @@
 """Session settings and the shared folder used for written intermediate tables."""
 
-import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Settings the results or the speed of every query rely on; they can be set at run time.
@@ -43,21 +43,28 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's `spark.checkpoint.dir`.
-
-    Only where the session names none (local tests) a temporary folder is made and set.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
+    """Folder all executors can reach: the cluster's `spark.checkpoint.dir`. Raises where none is named."""
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.sparkContext.getCheckpointDir()
     )
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="trafficlens-")
-        spark.sparkContext.setCheckpointDir(configured)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured.rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/trafficlens/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """`df` as a table under the shared folder: later jobs read it instead of repeating the work.
+
+    Survives lost executors and cuts the lineage. The folder is left to the cluster's clean-up, since the
+    result may be read at any later time.
+    """
+    path = shared_path(df.sparkSession, label)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
