@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import chat, sharding, token_counts, warc
+from trafficlens.llm import chat, minhash, sharding, token_counts, warc
 from trafficlens.session import shared_path, written
 
 SHARDS = 8
@@ -27,6 +27,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_chat_formatting(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
