@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import chat, minhash, sharding, token_counts, warc
+from trafficlens.llm import chat, decontaminate, minhash, quality, sharding, token_counts, warc
 from trafficlens.session import shared_path, written
 
 SHARDS = 8
@@ -32,6 +32,24 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.scored(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op7_chat_formatting(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

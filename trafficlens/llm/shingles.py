@@ -20,10 +20,19 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)`, with `value` computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def native_shingles(hashes: Column, size: int = WORDS) -> Column:
     """Shingle hashes of an array of word hashes, for texts of at least `size` words, else an empty array."""
-    starts = F.slice(hashes, 1, F.greatest(F.size(hashes) - size + 1, F.lit(0)))
-    return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, size)]))
+
+    def shingles(w):
+        starts = F.slice(w, 1, F.greatest(F.size(w) - size + 1, F.lit(0)))
+        return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(w, i + k) for k in range(1, size)]))
+
+    return let(hashes, shingles)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
