@@ -20,11 +20,12 @@ gives an empty result.
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm.components import components
@@ -36,11 +37,23 @@ BANDS, ROWS = 20, 5
 AGREE = 0.6
 # Texts of a bucket compared in one task.
 BLOCK = 1024
-# Shingles whose darts are thrown together.
-TOGETHER = 200_000
+# Shingles whose darts are thrown together, and texts handed to Python at once.
+TOGETHER, TEXTS = 200_000, 500
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Batches hold arrays as long as texts: fewer rows each, for the jobs run meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _part(x: np.ndarray, salt: int) -> np.ndarray:
     return mix(x ^ np.uint64(salt))
 
@@ -110,7 +123,7 @@ def _sketch(bands: int, rows: int):
             start = 0
             while start < batch.num_rows:
                 stop = max(start + 1, int(np.searchsorted(ends, ends[start] + TOGETHER, side="right")) - 1)
-                stop = min(stop, start + 500, batch.num_rows)
+                stop = min(stop, batch.num_rows)
                 sets = [weighted(flat[ends[i] : ends[i + 1]]) for i in range(start, stop)]
                 signature = signatures(sets, k)
                 empty = [not s[0].size for s in sets]
@@ -148,7 +161,7 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _occurrences(batches):
     for batch in batches:
-        coded = [occurrences(np.array(row, dtype=np.int64)).view(np.int64) for row in batch["hashes"].to_pylist()]
+        coded = [occurrences(np.asarray(row.values)).view(np.int64) for row in batch["hashes"]]
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(coded, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
@@ -157,7 +170,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     pairs = written(pairs, "near-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     whole = texts.join(asked, "node").select("node", word_hashes(F.col("text")).alias("hashes"))
-    shingles = written(whole.mapInArrow(_occurrences, "node long, shingles array<bigint>"), "near-shingles")
+    with _small_batches(whole.sparkSession):
+        shingles = written(whole.mapInArrow(_occurrences, "node long, shingles array<bigint>"), "near-shingles")
 
     def compare(batches):
         for batch in batches:
@@ -172,7 +186,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return written(joined.mapInArrow(compare, "a long, b long, similarity double"), "near-links")
+    with _small_batches(whole.sparkSession):
+        return written(joined.mapInArrow(compare, "a long, b long, similarity double"), "near-links")
 
 
 def _across(members: DataFrame) -> DataFrame:
@@ -214,7 +229,8 @@ def near_duplicates(
         F.col(id_col).cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("text_key"), word_hashes(text).alias("hashes")
     )
     schema = "doc_id long, text_key string, bands array<bigint>, sketch binary"
-    sketched = written(given.mapInArrow(_sketch(bands, rows), schema), "near-sketches")
+    with _small_batches(docs.sparkSession):
+        sketched = written(given.mapInArrow(_sketch(bands, rows), schema), "near-sketches")
     folded = sketched.groupBy("text_key").agg(
         F.coalesce(F.min("doc_id"), F.xxhash64("text_key")).alias("node"),
         F.first("bands").alias("bands"),

@@ -24,7 +24,7 @@ from trafficlens.llm.features import BUCKETS, Hasher
 
 # Labelled documents the model is fitted on and votes with, at most: those of least hashed id.
 FIT_ROWS = 4096
-DIMENSIONS = 64
+DIMENSIONS = 32
 NEIGHBOURS = 25
 BLOCK = 256
 THRESHOLD = 0.3

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import chat, decontaminate, minhash, quality, sharding, token_counts, warc
+from trafficlens.llm import ann, chat, decontaminate, minhash, mixing, quality, sharding, token_counts, warc
 from trafficlens.session import shared_path, written
 
 SHARDS = 8
+NEIGHBOURS = 20
+# Domains told by the label table, and their shares of the tokens of a mix.
+DOMAINS = {"toxic": "toxic = 1", "good": "quality = 1", "poor": "quality = 0"}
+MIX = {"toxic": 0.01, "good": 0.97, "poor": 0.02}
 TOKEN_LIMIT = 4096
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -50,6 +54,19 @@ def op3_quality_classifier(spark, sf_dir):
     )
 
 
+@query
+def op4_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0, k=NEIGHBOURS)
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    mix = mixing.mixed(docs, _table(spark, sf_dir, "labels"), DOMAINS, [MIX[d] for d in DOMAINS])
+    shares = [F.col("memberships")[i].alias(f"p_{name}") for i, name in enumerate(DOMAINS)]
+    return mix.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 @query
 def op7_chat_formatting(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
