@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from trafficlens.schema import require_positive
 from trafficlens.session import written
 
-FACTOR = 0.85
+FACTOR = 0.25
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 4096, 128
 # Candidates kept beyond those asked for, so that rounding cannot decide which of them is returned.
 SPARE = 8

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import ann, chat, decontaminate, minhash, mixing, quality, sharding, token_counts, warc
+from trafficlens.llm import ann, chat, decontaminate, minhash, mixing, quality, sharding, suffix_dedup, token_counts, warc
 from trafficlens.session import shared_path, written
 
 SHARDS = 8
@@ -67,6 +67,11 @@ def op5_mixing(spark, sf_dir):
     return mix.select("doc_id", "tokens", *shares, "rate", "copies")
 
 
+@query
+def op6_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_chat_formatting(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
