@@ -7,7 +7,7 @@ coordinate, and the one of least rank is kept per coordinate. Two texts agree in
 probability of their weighted Jaccard similarity. If a coordinate stays empty the rank is doubled.
 
 Coordinates are joined in bands. Equal texts are folded first. In each bucket of a band every text is
-compared with one of them, its centre, so that buckets of any size take linear work; where that leaves more
+compared with one of them, its centre (the one in the largest buckets), so that buckets of any size take linear work; where that leaves more
 than one component among the others of a bucket, the texts outside the centre's component are compared with
 all, in blocks, by their sketches. Pairs that may be similar are verified on their whole shingle multisets,
 and classes are the connected components of the verified links.
@@ -33,8 +33,10 @@ from trafficlens.llm.shingles import SIMILAR, mix, occurrences, similarity, weig
 from trafficlens.session import written
 
 BANDS, ROWS = 20, 5
-# A pair whose sketches agree in fewer coordinates is not verified: 5 standard deviations below 0.8.
-AGREE = 0.6
+# A pair whose sketches agree in fewer coordinates is not verified: 3 standard deviations below 0.8.
+AGREE = 0.68
+# Texts to be verified up to which their ids are broadcast (8 bytes each); beyond, texts are dealt by id.
+BROADCAST_IDS = 2_000_000
 # Texts of a bucket compared in one task.
 BLOCK = 1024
 # Shingles whose darts are thrown together, and texts handed to Python at once.
@@ -168,7 +170,9 @@ def _occurrences(batches):
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (`a`, `b`, `similarity`) among the pairs, on whole shingle multisets. `texts` has `node, text`."""
     pairs = written(pairs, "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-asked")
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
     whole = texts.join(asked, "node").select("node", word_hashes(F.col("text")).alias("hashes"))
     with _small_batches(whole.sparkSession):
         shingles = written(whole.mapInArrow(_occurrences, "node long, shingles array<bigint>"), "near-shingles")
@@ -240,9 +244,14 @@ def near_duplicates(
     sketches = nodes.select("node", "sketch")
 
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    first = F.min(F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("node")))
-    centres = placed.groupBy("bucket").agg(F.count("*").alias("size"), first["node"].alias("centre")).where("size > 1")
-    members = written(placed.join(centres, "bucket"), "near-buckets")
+    # The centre of a bucket is the text whose buckets are the largest: it agrees with most of the others.
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(placed.join(sizes, "bucket"), "near-shared")
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    first = F.max(F.struct("company", F.xxhash64("node").alias("order"), F.col("node").alias("node")))
+    placed = written(shared.join(company, "node"), "near-placed")
+    centres = placed.groupBy("bucket").agg(first["node"].alias("centre"))
+    members = written(placed.drop("company").join(centres, "bucket"), "near-buckets")
 
     stars = members.where("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.md5(text.cast("binary")))).alias("node"), text.alias("text"))
@@ -278,4 +287,6 @@ def _unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
     per = per.where("_least <> _most").drop("_least", "_most")
     kept = written(part.join(per, "bucket"), "near-unsettled")
     out = kept.where("component <> main").groupBy("bucket").agg(F.count("*").alias("outside"))
-    return kept.join(out, "bucket").select("bucket", "size", "outside", "node", "component", "main")
+    # The centre has been compared with all of them.
+    others = kept.join(out, "bucket").where("node <> centre")
+    return others.select("bucket", "size", "outside", "node", "component", "main")
