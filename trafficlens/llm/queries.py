@@ -2,18 +2,16 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
+from corpus_pipeline import DOMAINS, MIX, SHARDS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm import ann, chat, decontaminate, minhash, mixing, quality, sharding, suffix_dedup, token_counts, warc
 from trafficlens.session import shared_path, written
 
-SHARDS = 8
 NEIGHBOURS = 20
-# Domains told by the label table, and their shares of the tokens of a mix.
-DOMAINS = {"toxic": "toxic = 1", "good": "quality = 1", "poor": "quality = 0"}
-MIX = {"toxic": 0.01, "good": 0.97, "poor": 0.02}
 TOKEN_LIMIT = 4096
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -149,3 +147,12 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
        '<urn:page:metadata:' || page_id || '>' AS metadata_id
 FROM p LEFT JOIN h USING (digest)
 """
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
