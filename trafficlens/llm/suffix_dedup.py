@@ -10,8 +10,8 @@ deep as the gram, then a blind trie for each group that is still together. The c
 give those of all pairs, and with them the offsets at which an anchor lies in a passage that occurs again.
 
 Equal texts are folded first, as each removes the other. A gram with more than MOST anchors is not sorted in
-one task: its anchors are dealt again by longer strings, each for a part of the offsets, until groups are
-small or a string is the whole passage, which needs a count only.
+one task: anchors with equal bytes on both sides are folded by counting, and the rest is dealt again by longer
+strings, each for a part of the offsets, until groups are small.
 
 Defined cases: a null text is an empty one; texts shorter than LENGTH keep all bytes; rows without an id keep
 their rows; repeated rows are rows and copies of one another; ids should not name two texts; other columns
@@ -279,31 +279,47 @@ def _sorted_out(rows: DataFrame, low: int, high: int) -> DataFrame:
 
 def _spans(rows: DataFrame, most: int) -> DataFrame:
     """Covered bytes from anchors `key, node, at, before, after` of equal grams."""
-    parts, todo = [], [(rows, 0, LAST)]
+    parts, todo = [], [(rows, 0, LAST, False)]
     while todo:
-        now, low, high = todo.pop()
-        counts = now.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        if low == high:  # the key is the whole passage
-            found = now.join(counts, "key").select("node", (F.col("at") - low).alias("lo"), (F.col("at") - low + LENGTH).alias("hi"))
-            parts.append(written(found, "passage-spans"))
-            continue
-        counts = written(counts, "passage-counts")
-        few = now.join(counts.where(F.col("n") <= most), "key")
+        now, low, high, folded = todo.pop()
+        counts = written(now.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "passage-counts")
+        hot = counts.where(F.col("n") > most).select("key")
+        few = now.join(counts.where(F.col("n") <= most).select("key"), "key")
         parts.append(written(_sorted_out(few, low, high), "passage-spans"))
-        if counts.where(F.col("n") > most).limit(1).count():
-            many = written(now.join(counts.where(F.col("n") > most), "key").drop("n"), "passage-anchors")
-            middle = (low + high) // 2
-            for a, b in ((low, middle), (middle + 1, high)):
-                # Bytes that every passage with an offset from a to b has: a before the anchor, the rest after.
-                inside = many.where((F.octet_length("before") >= a) & (F.octet_length("after") >= LENGTH - b))
-                longer = F.xxhash64("key", F.expr(f"right(before, {a})") if a else F.lit(""), F.substring("after", 1, LENGTH - b))
-                todo.append((written(inside.withColumn("key", longer), "passage-anchors"), a, b))
+        if not hot.limit(1).count():
+            continue
+        many = written(now.join(hot, "key"), "passage-anchors")
+        if not folded:
+            met, rest = _folded(many, low, high)
+            parts.append(met)
+            if low < high:  # else what was alike has been one passage, and the rest is alone
+                todo.append((rest, low, high, True))
+            continue
+        middle = (low + high) // 2
+        for a, b in ((low, middle), (middle + 1, high)):
+            # Bytes that every passage with an offset from a to b has: a before the anchor, the rest after.
+            inside = many.where((F.octet_length("before") >= a) & (F.octet_length("after") >= LENGTH - b))
+            longer = F.xxhash64("key", F.expr(f"right(before, {a})") if a else F.lit(""), F.substring("after", 1, LENGTH - b))
+            todo.append((written(inside.withColumn("key", longer), "passage-anchors"), a, b, False))
     spans = parts[0]
     for part in parts[1:]:
         spans = spans.unionByName(part)
     return spans
 
 
+def _folded(many: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+    """Covered bytes of anchors whose passages with offsets from `low` to `high` are all shared with another
+    anchor's, and the anchors that are left: one of those alike, and the others."""
+    whole = (F.octet_length("before") >= high) & (F.octet_length("after") >= LENGTH - low)
+    around = F.concat(F.expr(f"right(before, {high})") if high else F.lit(b""), F.substring("after", 1, LENGTH - low))
+    marked = written(many.withColumn("around", F.when(whole, F.md5(around))), "passage-anchors")
+    alike = marked.where("around is not null").groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("node", "at")).alias("first"))
+    met = written(marked.join(alike.where("n > 1"), ["key", "around"], "left"), "passage-alike")
+    spans = met.where("n is not null").select("node", (F.col("at") - high).alias("lo"), (F.col("at") - low + LENGTH).alias("hi"))
+    rest = met.where(F.col("n").isNull() | (F.struct("node", "at") == F.col("first")))
+    return spans, rest.select("key", "node", "at", "before", "after")
+
+
 # --- whole texts -------------------------------------------------------------------------------
 
 
