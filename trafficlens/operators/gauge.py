@@ -120,7 +120,8 @@ def crossings(states: DataFrame, threshold: float, *, keys: Sequence[str] = ())
     """State changes: position in the period's events, average, and the time it happened.
 
     Going up, the position is the event that exceeds the threshold within the bucket; going down,
-    the first event of the next bucket.
+    the first event of the next bucket. A period's last bucket, judged only with `flush_last`, has no
+    next one: its own first event stands in.
     """
     before_bucket = F.col("cum") - F.col("hits")
     up = F.col("is_high")
@@ -131,7 +132,7 @@ def crossings(states: DataFrame, threshold: float, *, keys: Sequence[str] = ())
         up.alias("is_up"),
         F.when(up, before_bucket + floor(threshold)).otherwise(F.col("cum")).alias("position"),
         "average",
-        F.when(up, F.col("limit_ts")).otherwise(F.col("next_first_ts")).alias("crossed_ts"),
+        F.when(up, F.col("limit_ts")).otherwise(F.coalesce("next_first_ts", "first_ts")).alias("crossed_ts"),
     )
 
 

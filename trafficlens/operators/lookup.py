@@ -30,25 +30,21 @@ def fetch_interval(log: DataFrame, start: Column, end: Column, *, ts: str = "ts"
 
 def fetch_intervals(
     log: DataFrame, intervals: DataFrame, *, ts: str = "ts", keys: Sequence[str] = (),
-    block_secs: int = 3600, salt: int = 16,
+    block_secs: int = 3600,
 ) -> DataFrame:
     """Rows of `log` inside each of many `intervals` (`start_sec`, `end_sec`, inclusive).
 
-    Intervals are laid out on blocks of time so that rows meet them by equality; the rows of a busy
-    block are spread over `salt` join keys.
+    Intervals are laid out on blocks of time so that rows meet them by equality; choose `block_secs` near
+    the usual length of an interval. Spark splits a block that holds much of the log at run time.
     """
     require_positive("block_secs", block_secs)
     block = lambda sec: F.floor(sec / block_secs).cast("long")
     spread = intervals.select(
         "*", F.explode(F.sequence(block(F.col("start_sec")), block(F.col("end_sec")))).alias("_block")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-    rows = log.withColumn("_sec", epoch_second(F.col(ts))).withColumns(
-        {"_block": block(F.col("_sec")), "_salt": F.pmod(F.spark_partition_id(), F.lit(salt))}
-    )
-    joined = match(rows, spread, [*keys, "_block", "_salt"])
-    return joined.where(F.col("_sec").between(F.col("start_sec"), F.col("end_sec"))).drop(
-        "_sec", "_block", "_salt"
     )
+    rows = log.withColumn("_sec", epoch_second(F.col(ts))).withColumn("_block", block(F.col("_sec")))
+    joined = match(rows, spread, [*keys, "_block"])
+    return joined.where(F.col("_sec").between(F.col("start_sec"), F.col("end_sec"))).drop("_sec", "_block")
 
 
 def first_timestamp(log: DataFrame, *, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
@@ -103,11 +99,10 @@ def nearest(
     return _answer(probes, answer, tick(F.col(probe_ts)), keys)
 
 
-def _answer(probes: DataFrame, answer: DataFrame, position: Column, keys: Sequence[str], salt: int = 8) -> DataFrame:
-    """Give the answer per position back to every probe; probes of one position are spread out."""
-    repeated = answer.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-    spread = probes.withColumns({"_at": position, "_salt": F.pmod(F.spark_partition_id(), F.lit(salt))})
-    return match(spread, repeated, [*keys, "_at", "_salt"]).drop("_at", "_salt")
+def _answer(probes: DataFrame, answer: DataFrame, position: Column, keys: Sequence[str]) -> DataFrame:
+    """Give the answer per position back to every probe. There is one answer per position; Spark splits the
+    probes of a position that holds many of them at run time."""
+    return match(probes.withColumn("_at", position), answer, [*keys, "_at"]).drop("_at")
 
 
 def second_extent(log: DataFrame, *, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
@@ -125,17 +120,15 @@ def retention_tail(log: DataFrame, lengths: Sequence[int], *, ts: str = "ts") ->
     return log.where(F.col(ts) >= newest - F.make_dt_interval(secs=F.lit(max(lengths))))
 
 
-def append_batches(*batches: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
-    """All rows of all batches in time order; rows of one time keep the order they arrived in.
+def append_batches(*batches: DataFrame, order: Sequence[str] = ("ts",), arrival: Sequence[str] = ()) -> DataFrame:
+    """All rows of all batches in time order; of one time, rows of an earlier batch come first.
 
-    A range partitioned sort. The arrival order also lets Spark divide a moment that holds a large
-    share of the rows among several partitions.
+    Within a batch rows of one time are in the order of `arrival`: columns that tell when a row arrived,
+    such as a sequence number, or a file's time, path and block start. A table does not remember it;
+    without these columns the order of such rows is open. A range partitioned sort, in which `arrival` also
+    lets Spark divide a moment that holds a large share of the rows among several partitions.
     """
-    arrived = [
-        batch.withColumns({"_batch": F.lit(i), "_arrival": F.monotonically_increasing_id()})
-        for i, batch in enumerate(batches)
-    ]
-    combined = arrived[0]
-    for batch in arrived[1:]:
-        combined = combined.unionByName(batch)
-    return combined.orderBy(*order, "_batch", "_arrival").drop("_batch", "_arrival")
+    combined = batches[0].withColumn("_batch", F.lit(0))
+    for i, batch in enumerate(batches[1:], 1):
+        combined = combined.unionByName(batch.withColumn("_batch", F.lit(i)))
+    return combined.orderBy(*order, "_batch", *arrival).drop("_batch")

@@ -127,13 +127,19 @@ def _frame(pdf: pd.DataFrame, constant: Sequence[str], **columns) -> pd.DataFram
 
 
 def _chain_exits(secs: np.ndarray, period: int) -> np.ndarray:
-    """Per second, when the last period of the chain starting there ends, within the block."""
-    follow = np.searchsorted(secs, secs + period)
-    exits = secs + period
-    for i in range(len(secs) - 1, -1, -1):
-        if follow[i] < len(secs):
-            exits[i] = exits[follow[i]]
-    return exits
+    """Per second, when the last period of the chain starting there ends, within the block.
+
+    Each second points to the one that opens the next period; pointers are doubled until all have left.
+    """
+    count = len(secs)
+    last = np.arange(count)
+    jump = np.append(np.searchsorted(secs, secs + period), count)
+    while (ahead := jump[last] < count).any():
+        last = np.where(ahead, jump[last], last)
+        # A doubled pointer that leaves the block is walked in single steps by the rounds that follow.
+        doubled = jump[jump]
+        jump = np.where(doubled < count, doubled, jump)
+    return secs[last] + period
 
 
 def _chain_starts(secs: np.ndarray, free_at: int, period: int) -> np.ndarray:
@@ -154,22 +160,18 @@ def with_anchored_period(
     *,
     ts: str = "ts",
     keys: Sequence[str] = (),
-    salt: int = 16,
     block_secs: int | None = None,
 ) -> DataFrame:
     """Add `period_start` and `period_end` of the data-anchored period to every log row.
 
-    The log joins its own occupied seconds. A second may hold a large share of all rows, so the
-    rows of a second are spread over `salt` join keys and the small side is repeated for each.
+    The log joins its own occupied seconds, one row each; Spark splits the rows of a second that holds
+    much of the log at run time.
     """
     periods = anchored_periods(
         occupied_seconds(rows, ts=ts, keys=keys), period_secs, keys=keys, block_secs=block_secs
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")).withColumnRenamed("sec", "_sec")
-    salted = rows.withColumns(
-        {"_sec": epoch_second(F.col(ts)), "_salt": F.pmod(F.spark_partition_id(), F.lit(salt))}
-    )
+    ).withColumnRenamed("sec", "_sec")
     start = F.col("period_start_sec")
-    return match(salted, periods, [*keys, "_sec", "_salt"]).select(
+    return match(rows.withColumn("_sec", epoch_second(F.col(ts))), periods, [*keys, "_sec"]).select(
         *rows.columns,
         from_epoch(start).alias("period_start"),
         from_epoch(start + (period_secs - 1)).alias("period_end"),

@@ -1,0 +1,70 @@
+"""The whole analysis of a landing folder, continuously.
+
+Lines are parsed once: each batch goes to one table, good and malformed rows apart. Report and gauge are streams
+over the good rows of that table, so they can be stopped, restarted and changed on their own, and everything
+that was set aside stays there to be looked at.
+"""
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from trafficlens.functions.clf import parse_clf
+from trafficlens.schema import GAUGE_PERIOD_SECS, GAUGE_THRESHOLD, STATS_PERIOD_SECS
+from trafficlens.sources.text_log import LineParser, stream_lines
+from trafficlens.streaming.gauge import start_gauge
+from trafficlens.streaming.stats import start_report
+
+DELAY = "10 seconds"
+
+
+def start_parsed(parsed: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write a stream of parsed lines, bad ones too, under `path`, each line exactly once."""
+    writer = parsed.withColumn("is_rejected", F.col("reject_reason").isNotNull()).writeStream.outputMode("append")
+    writer = writer.option("checkpointLocation", checkpoint).partitionBy("is_rejected")
+    return (writer.trigger(**trigger) if trigger else writer).format("parquet").start(path)
+
+
+@dataclass
+class LiveJob:
+    """Folders of a continuous job under one path, and its streams."""
+
+    spark: SparkSession
+    path: str
+    parser: LineParser = parse_clf
+    delay: str = DELAY
+
+    def _schema(self):
+        lines = self.spark.createDataFrame([], "line string, file string")
+        return self.parser(lines).withColumn("is_rejected", F.lit(False)).schema
+
+    def parse(self, landing: str, *, max_files: int | None = None, max_bytes: int | None = None, start_from=None, **trigger) -> StreamingQuery:
+        lines = stream_lines(self.spark, landing, start_from=start_from, max_files=max_files, max_bytes=max_bytes)
+        return start_parsed(self.parser(lines), f"{self.path}/parsed", f"{self.path}/checkpoint/parsed", **trigger)
+
+    def parsed(self, *, max_files: int | None = None) -> DataFrame:
+        """The table of parsed lines as a stream, without those set aside."""
+        reader = self.spark.readStream.schema(self._schema())
+        if max_files is not None:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        return reader.parquet(f"{self.path}/parsed").where(~F.col("is_rejected")).drop("is_rejected")
+
+    def rejects(self) -> DataFrame:
+        """Lines set aside so far: `line, reason, file`."""
+        table = self.spark.read.schema(self._schema()).parquet(f"{self.path}/parsed").where("is_rejected")
+        return table.select("line", F.col("reject_reason").alias("reason"), "file")
+
+    def report(self, period_secs: int = STATS_PERIOD_SECS, *, max_files: int | None = None, **trigger) -> StreamingQuery:
+        checkpoint = f"{self.path}/checkpoint/report"
+        return start_report(self.parsed(max_files=max_files), period_secs, f"{self.path}/report", checkpoint, delay=self.delay, **trigger)
+
+    def gauge(
+        self, period_secs: int = GAUGE_PERIOD_SECS, threshold: float = GAUGE_THRESHOLD, *, bucket_secs: int = 1,
+        max_files: int | None = None, **trigger,
+    ) -> StreamingQuery:
+        return start_gauge(
+            self.parsed(max_files=max_files), period_secs, threshold, f"{self.path}/gauge", f"{self.path}/checkpoint/gauge",
+            bucket_secs=bucket_secs, delay=self.delay, **trigger,
+        )

@@ -338,3 +338,7 @@ ORACLE: dict[str, str] = {
         *[cte.replace("FROM access_log", "FROM closed") for cte in _GAUGE],
     ),
 }
+
+# The continuous job gives what the batch job and the single streams give.
+ORACLE["stream_rejects"] = ORACLE["rejected_lines"]
+ORACLE["stream_job"] = ORACLE["stream_alerts"]

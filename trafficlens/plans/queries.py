@@ -14,7 +14,9 @@ from trafficlens.functions import clf, derive, render
 from trafficlens.functions.clock import display_datetime, from_epoch, naive
 from trafficlens.operators import gauge, lookup, periods, stats
 from trafficlens.plans import report
+from trafficlens.plans.live import LiveJob
 from trafficlens.plans.derived import access_log, load_events, log_lines
+from trafficlens.schema import ACCESS_LOG
 from trafficlens.session import shared_path, prepare
 from trafficlens.sources import text_log
 from trafficlens.streaming import gauge as stream_gauge
@@ -158,19 +160,18 @@ def render_clf(spark, sf_dir):
 
 @query
 def roundtrip_audit(spark, sf_dir):
-    """How many parsed lines are rendered back unchanged, and do all of them parse to the same row."""
+    """How many parsed lines are rendered back unchanged, and do all of them parse to the same nine fields."""
     first = _parsed(spark, sf_dir).where(F.col("reject_reason").isNull())
     rendered = first.select(
-        F.col("line").alias("original"), F.struct("ts", "method", "status", "bytes", "host").alias("before"),
-        render.clf_line().alias("line"),
-    )
+        F.col("line").alias("original"), F.struct(*ACCESS_LOG.names).alias("before"), render.clf_line().alias("line")
+    )
     again = clf.parse_clf(rendered)
-    after = F.struct("ts", "method", "status", "bytes", "host")
+    after = F.struct(*ACCESS_LOG.names)
     return again.agg(
         F.count("*").alias("lines"),
         F.count_if(F.col("original") == F.col("line")).alias("unchanged"),
         F.count_if(F.col("original") != F.col("line")).alias("changed"),
-        F.count_if(F.col("reject_reason").isNotNull() | (F.col("before") != after)).alias("lost"),
+        F.count_if(F.col("reject_reason").isNotNull() | ~F.col("before").eqNullSafe(after)).alias("lost"),
     )
 
 
@@ -433,7 +434,7 @@ def append_batches(spark, sf_dir):
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.floor("o_totalprice").cast("long").alias("bytes"),
     )
-    return lookup.append_batches(log, orders)
+    return lookup.append_batches(log, orders, arrival=["id"])
 
 
 @query
@@ -465,3 +466,32 @@ def stream_alerts(spark, sf_dir):
         availableNow=True, **GAUGE,
     ).awaitTermination()
     return spark.read.parquet(f"{out}/alerts").select("bucket_ts", "line")
+
+
+LANDING_FILES = 8
+
+
+def _live(spark, sf_dir, label):
+    """A live job over the derived log, landed as files in time order and read one at a time."""
+    landing, out = shared_path(spark, f"{label}-in"), shared_path(spark, label)
+    events = load_events(spark, sf_dir)
+    lines = log_lines(events).join(events.select("event_id", "ts"), "event_id")
+    ordered = lines.repartitionByRange(LANDING_FILES, "ts").sortWithinPartitions("ts")
+    ordered.select(F.col("line").alias("value")).write.mode("overwrite").text(landing)
+    job = LiveJob(spark, out, delay=f"{STREAM_DELAY_SECS} seconds")
+    job.parse(landing, max_files=1, availableNow=True).awaitTermination()
+    return job
+
+
+@query
+def stream_rejects(spark, sf_dir):
+    """Lines a continuous job has set aside."""
+    return _live(spark, sf_dir, "live-rejects").rejects().select("line", "reason")
+
+
+@query
+def stream_job(spark, sf_dir):
+    """Alerts of the continuous job, with state carried from file to file."""
+    job = _live(spark, sf_dir, "live-job")
+    job.gauge(GAUGE["period_secs"], GAUGE["threshold"], bucket_secs=GAUGE["bucket_secs"], max_files=1, availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{job.path}/gauge/alerts").select("bucket_ts", "line")

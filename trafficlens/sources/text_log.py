@@ -1,7 +1,7 @@
 """Log files in, typed rows out; and the tables and text files written from them."""
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +41,8 @@ def stream_lines(
     """Lines of files as they arrive in the landing folder `path`, each file read exactly once.
 
     Files must be moved in complete: what is appended later is not seen. `start_from` leaves out
-    files last changed before it (start at the tail); without it the stream starts at the oldest
-    file. `max_files` or `max_bytes` per trigger throttle the readout.
+    files last changed before it (start at the tail), a datetime without zone being UTC; without it the
+    stream starts at the oldest file. `max_files` or `max_bytes` per trigger throttle the readout.
     """
     reader = spark.readStream.option("lineSep", "\n")
     if max_files is not None:
@@ -51,7 +51,10 @@ def stream_lines(
         reader = reader.option("maxBytesPerTrigger", max_bytes)
     raw = reader.text(path)
     if start_from is not None:
-        raw = raw.where(F.col("_metadata.file_modification_time") >= F.lit(start_from))
+        # The driver's own zone must not matter.
+        since = start_from if start_from.tzinfo else start_from.replace(tzinfo=timezone.utc)
+        micros = (since - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+        raw = raw.where(F.unix_micros("_metadata.file_modification_time") >= micros)
     return _lines(raw)
 
 

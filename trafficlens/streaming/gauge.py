@@ -99,15 +99,22 @@ def start_gauge(
         # Kept because several branches start here: the stateful stream must run once per batch.
         per_ts = batch.select(*keys, F.timestamp_micros("ts_micros").alias("ts"), "_n")
         hits = bucket_counts(per_ts, bucket_secs=bucket_secs, threshold=threshold, keys=keys).persist()
-        state = spark.read.parquet(slot(batch_id - 1)) if batch_id else None
-        states = judge(
-            state, hits, period_secs, threshold, bucket_secs=bucket_secs, keys=keys, anchored=anchored
-        ).persist()
-        crossed = crossings(states.where("is_new"), threshold, keys=keys)
-        alerts(crossed, threshold, keys=keys).write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
-        open_state(states, keys=keys).write.mode("overwrite").parquet(slot(batch_id))
-        states.unpersist()
-        hits.unpersist()
+        states = None
+        try:
+            if batch_id and hits.isEmpty():  # nothing has closed: the state goes on as it is
+                spark.read.parquet(slot(batch_id - 1)).write.mode("overwrite").parquet(slot(batch_id))
+                return
+            state = spark.read.parquet(slot(batch_id - 1)) if batch_id else None
+            states = judge(
+                state, hits, period_secs, threshold, bucket_secs=bucket_secs, keys=keys, anchored=anchored
+            ).persist()
+            crossed = crossings(states.where("is_new"), threshold, keys=keys)
+            alerts(crossed, threshold, keys=keys).write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
+            open_state(states, keys=keys).write.mode("overwrite").parquet(slot(batch_id))
+        finally:
+            for kept in (states, hits):
+                if kept is not None:
+                    kept.unpersist()
 
     writer = (
         closed_buckets(parsed, bucket_secs, delay=delay, keys=keys)

@@ -62,7 +62,7 @@ def start_report(
     def publish(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("period_start_sec", epoch_second(F.col("window.start"))).drop("window")
         lines = report_lines(rows, period_secs, keys=keys)
-        lines.orderBy("period_start", "line_no").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        lines.orderBy(*keys, "period_start", "line_no").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = counted.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).foreachBatch(publish).start()
