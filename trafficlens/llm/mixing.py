@@ -3,10 +3,10 @@
 Domains are told by labels. A softmax classifier, fitted on a bounded sample of labelled texts (see FIT_ROWS),
 gives every document a soft membership in each domain. Nonnegative rates are then fitted by projected
 gradient least squares, so that the expected tokens of each domain (sum of rate, tokens and membership) match
-the targets. Squares are scaled by the present total of each domain and the step by a document's tokens;
-a document's rate then depends only on its memberships and on the gradients so far, one number per domain and
-step, so that no step has to store rates: each goes once over the memberships, and only totals per domain
-reach the driver.
+the targets. The gradient is scaled by a document's tokens and, across domains, by the inverse of the matrix
+that says how totals move with it (over rates not at zero). A document's rate then depends only on its
+memberships and on the steps so far, one number per domain and step, so that no step has to store rates: each
+goes once over the memberships, and only sums per domain and pair of domains reach the driver.
 
 A rate says how often a document is used in the mix: its whole part, and once more with the probability of
 the rest, decided by a hash of the row.
@@ -29,9 +29,9 @@ from trafficlens.llm.quality import hashed_rows, labelled_sample
 from trafficlens.session import written
 
 FIT_ROWS = 4096
-FIT_STEPS, DECAY = 200, 1e-5
+FIT_STEPS, DECAY = 150, 1e-5
 # The fit ends when every domain is this close to its target, relative to all tokens, or after so many steps.
-CLOSE, STEPS = 1e-4, 60
+CLOSE, STEPS = 1e-4, 40
 
 
 @dataclass
@@ -52,11 +52,6 @@ class Domains:
         return out / out.sum(axis=1, keepdims=True)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str], *, rows: int = FIT_ROWS) -> Domains:
     """`domains`: name to an SQL condition on rows of `labels`; the first that holds is the domain."""
     names = list(domains)
@@ -67,33 +62,43 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str], *,
     shares = {f"d{i}": (F.col("_domain") == i).cast("double") for i in range(len(names))}
     found = hashed_rows(labelled_sample(docs, told, shares, rows), list(shares))
     target = np.array([[r[s] for s in shares] for r in found], dtype=np.float32).reshape(len(found), len(names))
-    x = np.zeros((len(found), BUCKETS), dtype=np.float32)
-    for i, r in enumerate(found):
-        if r["place"]:
-            x[i, r["place"]] = 1 + np.log(np.array(r["count"], dtype=np.float32))
     if not len(found):
         k = len(names)
         return Domains(names, np.ones(BUCKETS), np.zeros((BUCKETS, k)), np.zeros(k), np.full(k, 1 / k))
-    idf = (np.log((1 + len(found)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x *= idf
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    x /= np.where(size > 0, size, 1)
-    weights, bias = np.zeros((BUCKETS, len(names)), dtype=np.float32), np.zeros(len(names), dtype=np.float32)
-    along = np.ones(BUCKETS, dtype=np.float32)
+    prior = target.mean(axis=0).astype(np.float64)
+    told = [i for i, r in enumerate(found) if r["place"]]
+    target = target[told]
+    place = np.concatenate([np.array(found[i]["place"], dtype=np.int64) for i in told] or [np.zeros(0, dtype=np.int64)])
+    value = np.concatenate([1 + np.log(np.array(found[i]["count"])) for i in told] or [np.zeros(0)])
+    idf = np.log((1 + len(found)) / (1 + np.bincount(place, minlength=BUCKETS))) + 1
+    weights, bias = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
+    if not told:
+        return Domains(names, idf, weights, np.log(np.maximum(prior, 1e-9)), prior)
+    counts = np.array([len(found[i]["place"]) for i in told])
+    start, row = np.cumsum(counts) - counts, np.repeat(np.arange(len(told)), counts)
+    value *= idf[place]
+    value /= np.sqrt(np.add.reduceat(value**2, start))[row]
+    times = lambda w: np.add.reduceat(value[:, None] * w[place], start)
+    back = lambda e: np.stack([np.bincount(place, value * e[row, k], BUCKETS) for k in range(e.shape[1])], axis=1)
+    along = np.ones((BUCKETS, 1))
     for _ in range(20):  # the largest curvature of the squares, by power iteration
-        along = x.T @ (x @ along)
-        along /= max(np.linalg.norm(along), 1e-12)
-    step = 2 * len(found) / max(float(np.linalg.norm(x @ along)) ** 2, 1.0)
-    ahead, ahead_bias, momentum = weights.copy(), bias.copy(), 1.0
+        along = back(times(along))
+        along /= np.linalg.norm(along)
+    step = 2 * len(told) / max(float(np.linalg.norm(times(along))) ** 2, 1.0)
+    ahead, ahead_bias, momentum = weights, bias, 1.0
     for _ in range(FIT_STEPS):  # accelerated gradient
-        error = (_softmax(x @ ahead + ahead_bias) - target) / len(found)
-        new = ahead - step * (x.T @ error + DECAY * ahead)
-        new_bias = ahead_bias - error.sum(axis=0)
+        error = (_softmax(times(ahead) + ahead_bias) - target) / len(told)
+        new, new_bias = ahead - step * (back(error) + DECAY * ahead), ahead_bias - error.sum(axis=0)
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         pull = (momentum - 1) / following
         ahead, ahead_bias = new + pull * (new - weights), new_bias + pull * (new_bias - bias)
         weights, bias, momentum = new, new_bias, following
-    return Domains(names, idf, weights, bias, target.mean(axis=0).astype(np.float64))
+    return Domains(names, idf, weights, bias, prior)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def with_memberships(docs: DataFrame, model: Domains, *, text_col: str = "text") -> DataFrame:
@@ -130,31 +135,40 @@ def fit_rates(members: DataFrame, weights: list[float], *, budget: float | None
     (default: all tokens there are)."""
     width = len(weights)
 
-    def totals(pulls: np.ndarray) -> np.ndarray:
+    def totals(pulls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens per domain at the rates so far, and how they change with a pull, by pairs of domains."""
+
         def run(batches):
             for batch in batches:
                 member = _matrix(batch["memberships"], width)
                 tokens = np.asarray(batch["tokens"])
-                total = (tokens * _rates(member, pulls)) @ member
-                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["total"])
-
-        part = members.select("tokens", "memberships").mapInArrow(run, "total array<double>")
-        row = part.agg(*[F.sum(F.col("total")[i]) for i in range(width)]).first()
-        return np.array([v or 0.0 for v in row])
-
-    present = totals(np.zeros((0, width)))
-    whole = present.sum()
-    has = present > whole * 1e-9
+                rate = _rates(member, pulls)
+                total = (tokens * rate) @ member
+                moving = (member * (tokens * (rate > 0))[:, None]).T @ member
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(total, moving)], pa.list_(pa.float64()))], ["sums"])
+
+        part = members.select("tokens", "memberships").mapInArrow(run, "sums array<double>")
+        row = part.agg(*[F.sum(F.col("sums")[i]) for i in range(width + width**2)]).first()
+        sums = np.array([v or 0.0 for v in row])
+        return sums[:width], sums[width:].reshape(width, width)
+
+    now, moving = totals(np.zeros((0, width)))
+    whole = now.sum()
+    has = now > whole * 1e-9
     share = np.where(has, np.array(weights, dtype=float), 0)
     if whole <= 0 or share.sum() <= 0:
         return np.zeros((0, width))
     target = share / share.sum() * (budget if budget is not None else whole)
-    pulls, now = np.zeros((0, width)), present
+    pulls, size, error = np.zeros((0, width)), 1.0, np.inf
     for _ in range(steps):
-        if np.abs(now - target).max() <= close * whole:
+        off = np.abs(np.where(has, now - target, 0)).max()
+        if off <= close * whole:
             break
-        pulls = np.vstack([pulls, np.where(has, (now - target) / np.where(has, present, 1), 0)])
-        now = totals(pulls)
+        size, error = (size / 2 if off >= error else min(1.0, 2 * size)), off
+        ridge = 1e-9 * whole * np.eye(width)
+        pull = size * np.linalg.solve(moving + ridge, np.where(has, now - target, 0))
+        pulls = np.vstack([pulls, pull])
+        now, moving = totals(pulls)
     return pulls
 
 
