@@ -234,6 +234,8 @@ def apply_per_period_pandas(
     merge: Callable[[pd.DataFrame], pd.DataFrame],
     schema: T.StructType,
     *,
+    keys: Sequence[str] = (),
+    anchored: bool = False,
     ts: str = "ts",
     spread: int = 64,
 ) -> DataFrame:
@@ -242,27 +244,30 @@ def apply_per_period_pandas(
     A period may hold any share of the log, so it is never handed over whole. `partial` turns a
     batch of rows of one period into rows of `schema`; `merge` folds several such results of one
     period into one of the same schema, and must not care how they are grouped. Merging goes by
-    `spread` parts of a period first and then by period.
+    `spread` parts of a period first and then by period. Rows are sorted by period within their
+    partition, so that a batch holds few periods however the log is ordered.
     """
-    placed = with_fixed_period(rows, period_secs, ts=ts)
-    period = [placed.schema["period_start"], placed.schema["period_end"]]
-    out = T.StructType([*period, *schema.fields])
-    bounds = ["period_start", "period_end"]
+    placed = (
+        with_anchored_period(rows, period_secs, ts=ts, keys=keys)
+        if anchored
+        else with_fixed_period(rows, period_secs, ts=ts)
+    )
+    bounds = [*keys, "period_start", "period_end"]
+    out = T.StructType([*[placed.schema[c] for c in bounds], *schema.fields])
+    placed = placed.sortWithinPartitions(*bounds)
 
     def by_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [
-                partial(group.drop(columns=bounds)).assign(period_start=s, period_end=e)
-                for (s, e), group in batch.groupby(bounds, sort=False)
+                partial(group.drop(columns=["period_start", "period_end"])).assign(**dict(zip(bounds, place)))
+                for place, group in batch.groupby(bounds, sort=False, dropna=False)
             ]
             if parts:
                 yield pd.concat(parts)[[*bounds, *schema.names]]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         merged = merge(pdf[schema.names])
-        return merged.assign(period_start=pdf["period_start"].iloc[0], period_end=pdf["period_end"].iloc[0])[
-            [*bounds, *schema.names]
-        ]
+        return merged.assign(**{c: pdf[c].iloc[0] for c in bounds})[[*bounds, *schema.names]]
 
     partials = placed.mapInPandas(by_batch, out)
     spread_out = partials.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(spread)))
