@@ -9,8 +9,8 @@ probability of their weighted Jaccard similarity. If a coordinate stays empty th
 Coordinates are joined in bands. Equal texts are folded first. In each bucket of a band every text is
 compared with one of them, its centre (the one in the largest buckets), so that buckets of any size take linear work; where that leaves more
 than one component among the others of a bucket, the texts outside the centre's component are compared with
-all, in blocks, by their sketches. Pairs that may be similar are verified on their whole shingle multisets,
-and classes are the connected components of the verified links.
+all, in blocks, by their sketches and then their shingles. Pairs that may be similar are verified on their whole
+shingle multisets, and classes are the connected components of the verified links.
 
 Defined cases: a null text is an empty one; texts without words are similar to equal texts only; equal texts
 always share a class; rows without an id keep their rows, and where no row of a text has an id a hash of the
@@ -167,15 +167,20 @@ def _occurrences(batches):
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(coded, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (`a`, `b`, `similarity`) among the pairs, on whole shingle multisets. `texts` has `node, text`."""
-    pairs = written(pairs, "near-pairs")
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-asked")
+def _shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """`node, shingles` of the given nodes (distinct). `texts` has `node, text`."""
+    asked = written(nodes, "near-asked")
     if asked.count() <= BROADCAST_IDS:
         asked = F.broadcast(asked)
     whole = texts.join(asked, "node").select("node", word_hashes(F.col("text")).alias("hashes"))
     with _small_batches(whole.sparkSession):
-        shingles = written(whole.mapInArrow(_occurrences, "node long, shingles array<bigint>"), "near-shingles")
+        return written(whole.mapInArrow(_occurrences, "node long, shingles array<bigint>"), "near-shingles")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (`a`, `b`, `similarity`) among the pairs, on whole shingle multisets."""
+    pairs = written(pairs, "near-pairs")
+    shingles = _shingles(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts)
 
     def compare(batches):
         for batch in batches:
@@ -190,34 +195,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    with _small_batches(whole.sparkSession):
+    with _small_batches(joined.sparkSession):
         return written(joined.mapInArrow(compare, "a long, b long, similarity double"), "near-links")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket that agree, belong to different components, and are not both in its centre's.
+def _packed(batches):
+    """Half of each shingle number, which takes half the room and decides all but the closest cases."""
+    for batch in batches:
+        short = [np.sort(np.asarray(r.values).view(np.uint64).astype(np.uint32)).tobytes() for r in batch["shingles"]]
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(short, pa.binary())], ["node", "halves"])
+
+
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of one bucket that are similar, by half their shingle numbers, and belong to different components.
 
-    `members` has `bucket, size, outside, node, component, main, sketch`: `outside` texts of the bucket are not
-    in the component `main` of its centre. These are compared with all, block by block.
+    `members` has `bucket, band, size, outside, node, component, main, bands, sketch, halves`: `outside` texts of the
+    bucket are not in the component `main` of its centre. These are compared with all, block by block. A pair is
+    compared in the first band it shares only, after its sketches; nothing but similar pairs leaves a block, and of
+    those one for each text and component.
     """
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    columns = ["bucket", "node", "component", "sketch", "one", "side", "other"]
+    columns = ["bucket", "band", "node", "component", "bands", "sketch", "halves", "one", "side", "other"]
     out = members.where("component <> main")
     asking = out.withColumns({"side": F.lit(0), "one": own(F.col("outside"))}).withColumn("other", every(F.col("size")))
     asked = members.withColumns({"side": F.lit(1), "other": own(F.col("size"))}).withColumn("one", every(F.col("outside")))
     dealt = asking.select(columns).unionByName(asked.select(columns))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        band = int(group["band"].iloc[0])
         sides = [group[group["side"] == s] for s in (0, 1)]
         sketch = [np.frombuffer(b"".join(s["sketch"]), dtype=np.uint16).reshape(len(s), -1) for s in sides]
+        bands = [np.stack(s["bands"].to_numpy())[:, :band] if len(s) else np.zeros((0, band)) for s in sides]
+        halves = [[np.frombuffer(h, dtype=np.uint32) for h in s["halves"]] for s in sides]
         node, component = ([s[c].to_numpy() for s in sides] for c in ("node", "component"))
         found = []
         for i in range(len(sides[0])):
-            near = np.flatnonzero(((sketch[1] == sketch[0][i]).mean(axis=1) >= AGREE) & (component[1] != component[0][i]))
-            found.append(pd.DataFrame({"a": np.full(near.size, node[0][i]), "b": node[1][near]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}).astype("int64")
+            met = (bands[1] == bands[0][i]).any(axis=1)
+            near = ~met & (component[1] != component[0][i]) & ((sketch[1] == sketch[0][i]).mean(axis=1) >= AGREE)
+            linked = set()
+            for j in np.flatnonzero(near):
+                if component[1][j] not in linked and similarity(halves[0][i], halves[1][j]) >= threshold - 1e-3:
+                    linked.add(component[1][j])
+                    found.append((node[0][i], node[1][j]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     pairs = dealt.groupBy("bucket", "one", "other").applyInPandas(compare, "a long, b long")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -243,7 +265,7 @@ def near_duplicates(
     nodes = written(folded, "near-nodes")
     sketches = nodes.select("node", "sketch")
 
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     # The centre of a bucket is the text whose buckets are the largest: it agrees with most of the others.
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(placed.join(sizes, "bucket"), "near-shared")
@@ -259,8 +281,11 @@ def near_duplicates(
     links = _verified(_agreeing(stars.distinct(), sketches), texts, threshold)
     joined = written(components(links), "near-components")
 
-    rest = _unsettled(members, joined)
-    more = _verified(_across(rest.join(sketches, "node")), texts, threshold)
+    rest = written(_unsettled(members, joined), "near-rest")
+    halves = _shingles(rest.select("node").distinct(), texts).mapInArrow(_packed, "node long, halves binary")
+    open_nodes = nodes.select("node", "bands", "sketch").join(halves, "node")
+    similar = written(_across(rest.join(open_nodes, "node"), threshold), "near-across")
+    more = _verified(similar, texts, threshold)
     both = links.select("a", "b").unionByName(more.select("a", "b"))
     final = components(both)
     classes = nodes.select("text_key", "node").join(final, "node", "left")
@@ -289,4 +314,4 @@ def _unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
     out = kept.where("component <> main").groupBy("bucket").agg(F.count("*").alias("outside"))
     # The centre has been compared with all of them.
     others = kept.join(out, "bucket").where("node <> centre")
-    return others.select("bucket", "size", "outside", "node", "component", "main")
+    return others.select("bucket", "band", "size", "outside", "node", "component", "main")
