@@ -33,6 +33,8 @@ GRAM = 64
 # The anchor lies at one of these offsets within a passage: from 0 to the last one.
 LAST = LENGTH - GRAM
 MOST = 20_000
+# Texts with repeated grams up to which their ids are broadcast (8 bytes each), so that the others do not move.
+BROADCAST_IDS = 2_000_000
 # Groups up to this size compare all offsets of all pairs at once, larger ones go offset by offset.
 PAIRED = 400
 
@@ -362,9 +364,11 @@ def without_repeats(docs: DataFrame, *, most: int = MOST, id_col: str = "doc_id"
     placed = texts.select("node", F.explode(F.arrays_zip("places", "grams")).alias("p"))
     placed = placed.select("node", F.col("p.places").alias("at"), F.col("p.grams").alias("gram"))
     again = placed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    asked = placed.join(again, "gram").groupBy("node").agg(F.collect_list(F.struct("at", "gram")).alias("asked"))
+    asked = written(placed.join(again, "gram").groupBy("node").agg(F.collect_list(F.struct("at", "gram")).alias("asked")), "passage-asked")
     # One row per distinct text: rows that repeat an id are folded here.
     named = rows.select(F.coalesce("doc_id", F.xxhash64("text_key")).alias("node"), "text")
+    if asked.count() <= BROADCAST_IDS:
+        named = named.join(F.broadcast(asked.select("node")), "node", "left_semi")
     wanted = written(named.join(asked, "node").dropDuplicates(["node"]), "passage-wanted")
 
     chunks = written(wanted.mapInArrow(_chunks, _CHUNK), "passage-chunks")
