@@ -87,6 +87,19 @@ def test_near_duplicates_equal_brute_force(spark, documents, words):
     assert dict(rows(minhash.near_duplicates(extra))) == _classes(texts)
 
 
+def test_a_pair_short_of_the_threshold_does_not_hide_a_link(spark):
+    """One text asks a component whose members are at 0.7995 but for one at 0.82, wherever that one comes."""
+    halves = lambda shared, own: np.r_[np.arange(shared), 10**6 * (own + 1) + np.arange(200)].astype(np.uint32).tobytes()
+    sketch, bands = bytes(200), list(range(20))
+    rest = [(2 + i, 1, halves(1599, i)) for i in range(30)] + [(50, 1, halves(1640, 40))] + [(60 + i, 1, halves(1599, 50 + i)) for i in range(30)]
+    members = [(0, 100, np.arange(1800).astype(np.uint32).tobytes()), *rest]
+    table = spark.createDataFrame(
+        [(7, 0, len(members), 1, n, c, 1, bands, sketch, h) for n, c, h in members],
+        "bucket long, band int, size long, outside long, node long, component long, main long, bands array<bigint>, sketch binary, halves binary",
+    )
+    assert (50, 0) in rows(minhash._across(table.coalesce(1), 0.8))
+
+
 def test_near_duplicates_of_odd_rows(spark, documents):
     got = rows(minhash.near_duplicates(documents([(1, "one two three"), (1, "one two three"), (None, "one two three"), (None, None)])))
     assert [c for d, c in got if d == 1] == [1, 1] and len(got) == 4

@@ -212,7 +212,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     `members` has `bucket, band, size, outside, node, component, main, bands, sketch, halves`: `outside` texts of the
     bucket are not in the component `main` of its centre. These are compared with all, block by block. A pair is
     compared in the first band it shares only, after its sketches; nothing but similar pairs leaves a block, and of
-    those one for each text and component.
+    those one for each text and component, besides pairs so near the threshold that halves cannot decide.
     """
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
@@ -236,9 +236,15 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
             near = ~met & (component[1] != component[0][i]) & ((sketch[1] == sketch[0][i]).mean(axis=1) >= AGREE)
             linked = set()
             for j in np.flatnonzero(near):
-                if component[1][j] not in linked and similarity(halves[0][i], halves[1][j]) >= threshold - 1e-3:
-                    linked.add(component[1][j])
+                if component[1][j] in linked:
+                    continue
+                alike = similarity(halves[0][i], halves[1][j])
+                # Equal halves of different numbers, as a share of the numbers, with room to spare.
+                doubt = 1e-3 + (halves[0][i].size + halves[1][j].size) * 2.0**-31
+                if alike >= threshold - doubt:
                     found.append((node[0][i], node[1][j]))
+                if alike >= threshold + doubt:
+                    linked.add(component[1][j])
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     pairs = dealt.groupBy("bucket", "one", "other").applyInPandas(compare, "a long, b long")
