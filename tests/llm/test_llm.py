@@ -100,6 +100,18 @@ def test_a_pair_short_of_the_threshold_does_not_hide_a_link(spark):
     assert (50, 0) in rows(minhash._across(table.coalesce(1), 0.8))
 
 
+def test_a_text_is_verified_with_its_centre_whatever_the_sketches_say(spark, documents, words, monkeypatch):
+    """No sketch agrees in more than all coordinates: what is linked was not asked for its sketch."""
+    monkeypatch.setattr(minhash, "AGREE", 1.1)
+    base = words(150, 1)
+    got = dict(rows(minhash.near_duplicates(documents([(1, base), (2, _edited(base, 3, 2)), (3, words(90, 7))]))))
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_sketches_refuse_no_more_than_five_deviations():
+    assert minhash.AGREE <= 0.8 - 5 * math.sqrt(0.8 * 0.2 / (minhash.BANDS * minhash.ROWS)) + 1e-9
+
+
 def test_near_duplicates_of_odd_rows(spark, documents):
     got = rows(minhash.near_duplicates(documents([(1, "one two three"), (1, "one two three"), (None, "one two three"), (None, None)])))
     assert [c for d, c in got if d == 1] == [1, 1] and len(got) == 4

@@ -7,8 +7,8 @@ coordinate, and the one of least rank is kept per coordinate. Two texts agree in
 probability of their weighted Jaccard similarity. If a coordinate stays empty the rank is doubled.
 
 Coordinates are joined in bands. Equal texts are folded first. In each bucket of a band every text is
-compared with one of them, its centre (the one in the largest buckets), so that buckets of any size take linear work; where that leaves more
-than one component among the others of a bucket, the texts outside the centre's component are compared with
+compared with one of them, its centre (the one in the largest buckets), on their whole shingle multisets, so that
+buckets of any size take linear work; where that leaves more than one component among the others of a bucket, the texts outside the centre's component are compared with
 all, in blocks, by their sketches and then their shingles. Pairs that may be similar are verified on their whole
 shingle multisets, and classes are the connected components of the verified links.
 
@@ -33,8 +33,8 @@ from trafficlens.llm.shingles import SIMILAR, mix, occurrences, similarity, weig
 from trafficlens.session import written
 
 BANDS, ROWS = 20, 5
-# A pair whose sketches agree in fewer coordinates is not verified: 3 standard deviations below 0.8.
-AGREE = 0.68
+# A pair within a block whose sketches agree in fewer coordinates is not verified: 5 standard deviations below 0.8.
+AGREE = 0.6
 # Texts to be verified up to which their ids are broadcast (8 bytes each); beyond, texts are dealt by id.
 BROADCAST_IDS = 2_000_000
 # Texts of a bucket compared in one task.
@@ -145,22 +145,6 @@ def _sketch(bands: int, rows: int):
     return run
 
 
-def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (`a`, `b`) whose sketches agree in enough coordinates."""
-
-    def run(batches):
-        for batch in batches:
-            left, right = (
-                np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb")
-            )
-            keep = pa.array((left == right).mean(axis=1) >= AGREE) if batch.num_rows else pa.array([], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
-
-    a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def _occurrences(batches):
     for batch in batches:
         coded = [occurrences(np.asarray(row.values)).view(np.int64) for row in batch["hashes"]]
@@ -269,7 +253,6 @@ def near_duplicates(
         F.first("sketch").alias("sketch"),
     )
     nodes = written(folded, "near-nodes")
-    sketches = nodes.select("node", "sketch")
 
     placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     # The centre of a bucket is the text whose buckets are the largest: it agrees with most of the others.
@@ -284,7 +267,7 @@ def near_duplicates(
     stars = members.where("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.md5(text.cast("binary")))).alias("node"), text.alias("text"))
     texts = texts.dropDuplicates(["node"]) if _repeats(sketched) else texts
-    links = _verified(_agreeing(stars.distinct(), sketches), texts, threshold)
+    links = _verified(stars.distinct(), texts, threshold)
     joined = written(components(links), "near-components")
 
     rest = written(_unsettled(members, joined), "near-rest")
