@@ -159,6 +159,31 @@ def test_decontamination_equals_brute_force(spark, documents, words):
     assert rows(decontaminate.contaminated(table, bench.limit(0))) == []
 
 
+def test_passages_with_moved_parts_are_found(spark, documents, words):
+    items = {1: words(60, 41), 2: words(90, 42), 3: "so it is and " * 9 + words(40, 43)}
+    part = lambda i, *cuts: " ".join(" ".join(items[i].split()[a:b]) for a, b in cuts)
+    docs = {
+        10: f"{words(50, 1)} {part(1, (30, 60), (0, 30))} {words(50, 2)}",
+        11: part(1, (30, 60), (0, 30)),
+        12: f"{words(7, 3)} {part(2, (60, 90), (30, 60), (0, 30))}",
+        13: f"{part(3, (40, 80), (0, 40))} {words(9, 4)}",
+        14: f"{words(20, 5)} {part(1, (0, 20), (40, 60))} {words(20, 6)}",
+        15: f"{words(20, 7)} {items[2]} {words(20, 8)}",
+    }
+    want = {}
+    for d, t in docs.items():
+        w = t.lower().split()
+        for i, x in items.items():
+            n, item = len(x.split()), _shingles(x)
+            best = max(_weighted_jaccard(_shingles(" ".join(w[s : s + n])), item) for s in range(max(1, len(w) - n + 1)))
+            if best >= 0.8:
+                want[d, i] = round(best, 9)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = rows(decontaminate.contaminated(documents(list(docs.items())), bench))
+    assert {(r[0], r[1]): round(r[4], 9) for r in found} == want and {d for d, _ in want} >= {10, 11, 12, 13, 15}
+    assert [r[2] for r in found if r[0] == 15] == [20]
+
+
 # --- trained models --------------------------------------------------------------------------
 
 

@@ -1,8 +1,11 @@
 """Documents that hold benchmark items: SimHash of item-sized windows, with DataFrame functions only.
 
-A window of a document is as many words as an item has. Windows are laid where a five-word shingle of an
-item occurs in a document, so that the shingle has the same place in both: a window that is similar to an
-item shares most shingles with it. Windows of equal content are folded. Windows and items of one
+A window of a document is as many words as an item has. Where a five-word shingle of an item occurs in a
+document, two windows are laid: the one in which the shingle has the same place as in the item, and the one that
+ends with it. The latter are enough to find the most similar window of all, in whatever order the item's parts
+come: moved to the left, a window that neither starts the document nor ends with a shingle of the item loses
+none. Only windows that hold as many of the item's shingles as the threshold asks for are kept. Of equally
+similar places one with a shingle in its place goes first, then the earliest. Windows of equal content are folded. Windows and items of one
 length get 64-bit fingerprints (SimHash over shingles, weighted by counts); cut into RADIUS + 1 blocks, two
 fingerprints at most RADIUS bits apart agree in one block, so an equality join on blocks finds them all. Every
 such pair is then compared exactly, by the weighted Jaccard similarity of the shingles.
@@ -22,7 +25,7 @@ from trafficlens.session import written
 BITS = 64
 # At the similarity of 0.8 fingerprints differ by 10 bits on average, with a standard deviation of 3.
 RADIUS = 19
-# Shingles of items up to which they are broadcast (16 bytes each); beyond, the join is dealt by shingle.
+# Shingles of items up to which they are broadcast (32 bytes each); beyond, the join is dealt by shingle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -58,19 +61,31 @@ def item_shingles(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return read.select("item_id", "n_words", F.posexplode("_s").alias("at", "h"))
 
 
-def _windows(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`doc_id, start, n_words, content, window` for each place where an item may lie."""
+def _windows(docs: DataFrame, places: DataFrame, known: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """`doc_id, start, n_words, aligned, content, window` for each place where an item may lie.
+
+    `places` has `h, item_id, n_words, at`; `known` the distinct shingles (`distinct`) of each item.
+    """
     read = docs.select(F.col(id_col).alias("doc_id"), native_shingles(word_hashes(F.col(text_col))).alias("_s"))
     # The outer form keeps Spark from testing the size first, for which it would compute the array again.
     hits = read.select("doc_id", "_s", F.posexplode_outer("_s").alias("_at", "h"))
-    found = hits.join(places, "h")
+    found = hits.join(places, "h").join(known, ["item_id", "n_words"])
     width = F.col("n_words") - (WORDS - 1)
-    start = F.greatest(F.lit(0), F.least(F.col("_at") - F.col("at"), F.size("_s") - width))
-    laid = found.select("doc_id", start.alias("start"), "n_words", F.slice("_s", start + 1, width).alias("window"))
+    begin = lambda at: F.greatest(F.lit(0), F.least(at, F.size("_s") - width))
+    starts = F.array(
+        F.struct(begin(F.col("_at") - F.col("at")).alias("start"), F.lit(True).alias("aligned")),
+        F.struct(begin(F.col("_at") - width + 1).alias("start"), F.lit(False).alias("aligned")),
+    )
+    laid = found.select("doc_id", "_s", "n_words", "distinct", F.inline(starts))
+    laid = laid.withColumn("window", F.slice("_s", F.col("start") + 1, width)).drop("_s")
+    # Every shingle of the window may be shared as often as the item repeats it.
+    shared = F.size(F.array_intersect("window", "distinct")) + width - F.size("distinct")
+    least = threshold / (1 + threshold) * (F.size("window") + width) - 1e-6
+    laid = laid.where(shared >= least)
     once = laid.groupBy("doc_id", "start", "n_words", F.xxhash64("window").alias("_a"), F.hash("window").alias("_b")).agg(
-        F.first("window").alias("window")
+        F.first("window").alias("window"), F.max("aligned").alias("aligned")
     )
-    return once.select("doc_id", "start", "n_words", F.struct("_a", "_b").alias("content"), "window")
+    return once.select("doc_id", "start", "n_words", "aligned", F.struct("_a", "_b").alias("content"), "window")
 
 
 def contaminated(
@@ -79,10 +94,11 @@ def contaminated(
 ) -> DataFrame:
     """`doc_id, item_id, start_word, n_words, similarity`: the best place of each item a document holds."""
     listed = written(item_shingles(items, item_col, item_text_col), "leak-items")
-    places = listed.select("h", "n_words", "at").distinct()
+    places = listed.select("h", "item_id", "n_words", "at").distinct()
+    known = listed.groupBy("item_id", "n_words").agg(F.collect_set("h").alias("distinct"))
     if listed.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    windows = written(_windows(docs, places, id_col, text_col), "leak-windows")
+        places, known = F.broadcast(places), F.broadcast(known)
+    windows = written(_windows(docs, places, known, threshold, id_col, text_col), "leak-windows")
 
     contents = windows.groupBy("content", "n_words").agg(F.first("window").alias("window"))
     laid = written(contents.select("content", "n_words", F.explode("window").alias("h")), "leak-shingles")
@@ -106,7 +122,7 @@ def contaminated(
     )
     alike = shared.withColumn("similarity", F.col("both") / (F.col("own_n") + F.col("item_n") - F.col("both")))
     alike = alike.where(F.col("similarity") >= threshold).select("content", "n_words", "item_id", "similarity")
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best")
+    best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("start"))).alias("best")
     per = windows.drop("window").join(alike, ["content", "n_words"]).groupBy("doc_id", "item_id", "n_words").agg(best)
     return per.select(
         "doc_id", "item_id", (-F.col("best")["start"]).cast("long").alias("start_word"), "n_words", F.col("best")["similarity"].alias("similarity")
