@@ -2,9 +2,12 @@
 
 import hashlib
 import math
+import pathlib
 import random
+import shutil
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -456,5 +459,24 @@ def test_archives_are_read_back(spark, tmp_path):
     assert warc.transactions(warc.read_warc(spark, empty)).count() == 0
 
 
+def test_pages_of_one_id_or_none_stay_captures(spark, tables, tmp_path):
+    big, other = "p" * 1500, "q" * 1500
+    pages = [(1, "a", big), (1, "a", big), (1, "b", "x"), (1, "a", big), (2, "c", big), (None, "d", big), (None, "d", big), (None, None, None)]
+    pages += [(7, "e", other), (7, "e", other), (7, "f", other), (3, "g", other), (5, "h", "alone"), (-4, "i", None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = str(tmp_path / "warc")
+    warc.write_warc(warc.captures(table, id_col="page_id", url_col="url", payload_col="html"), path)
+    records = warc.read_warc(spark, path)
+    assert records.count() == records.select("record_id").distinct().count() == 3 * len(pages)
+    found = warc.transactions(records).collect()
+    want = sorted((u or "", f"page-id: {'' if p is None else p}\r\n", len(h or "")) for p, u, h in pages)
+    assert sorted((r["answer"]["target_uri"], r["metadata"]["fields"], r["payload_bytes"]) for r in found) == want
+    table.coalesce(1).write.parquet(f"{tables.path}/part")
+    shutil.copy(next(pathlib.Path(f"{tables.path}/part").glob("*.parquet")), f"{tables.path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tables.path}/pages.parquet'")
+    assert differences(REGISTRY["op10_warc"](spark, tables.path), con, ORACLE["op10_warc"]) is None
+
+
 def warc_id(row):
     return int(row["answer"]["record_id"].rpartition(":")[2].rstrip(">"))

@@ -130,8 +130,8 @@ def op10_warc(spark, sf_dir):
         answer["record_type"].alias("record_type"),
         warc.page_of(answer["refers_to"]).alias("refers_to"),
         answer["target_uri"].alias("target_uri"),
-        F.col("request")["record_id"].alias("request_id"),
-        F.col("metadata")["record_id"].alias("metadata_id"),
+        warc.without_number(F.col("request")["record_id"]).alias("request_id"),
+        warc.without_number(F.col("metadata")["record_id"]).alias("metadata_id"),
     )
 
 

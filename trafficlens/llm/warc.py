@@ -8,8 +8,9 @@ record, compressed with gzip, so that files go through the committer to any file
 On reading, files are cut into records by their Content-Length in Python, file by file (files are kept small
 on writing), and records of one capture are joined by their identifiers.
 
-Defined cases: a null payload is empty; rows of one id are captures of their own if `id_col` repeats, told
-apart by nothing but their order, so ids should be unique; a null url is written as an empty one; records
+Defined cases: a null payload is empty; rows that repeat an id and rows without one are captures of their own:
+their identifiers go on with a record number, made of a digest of the row and a count of equal rows, and where
+the id is null they hold no id (nor does the metadata record); a null url is written as an empty one; records
 whose partners are missing give a capture with nulls; an empty table writes no records.
 """
 
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.session import written
+
 # Marks of the format.
 EOL, RECORD_END = "\r\n", "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,8 +40,10 @@ RECORD_SCHEMA = (
 )
 
 
-def _urn(kind: str, page: Column) -> Column:
-    return F.concat(F.lit(f"<urn:page:{kind}:"), page.cast("string"), F.lit(">"))
+def _urn(kind: str, page: Column, number: Column) -> Column:
+    """Without a `number` the page's id alone tells its records."""
+    own = F.coalesce(F.concat(F.lit(":"), number), F.lit(""))
+    return F.concat(F.lit(f"<urn:page:{kind}:"), F.coalesce(page.cast("string"), F.lit("")), own, F.lit(">"))
 
 
 def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -48,45 +53,69 @@ def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], blo
     return F.concat(*head, F.lit(EOL), block)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with `number`: null where a row has an id of its own, else what tells rows of one id apart.
+
+    Ids are counted first, so that no payload is moved unless its id is missing or repeats. Equal rows are folded
+    and dealt out again with numbers, which keeps any number of them from meeting in one task.
+    """
+    ids = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 or page_id is null").select("page_id")
+    if not ids.limit(1).count():
+        return rows.withColumn("number", F.lit(None).cast("string"))
+    ids = written(ids, "warc-repeated-ids")
+    alone = rows.where("page_id is not null").join(ids, "page_id", "left_anti").withColumn("number", F.lit(None).cast("string"))
+    others = rows.join(ids, "page_id", "left_semi").unionByName(rows.where("page_id is null"))
+    folded = others.groupBy("page_id", "url", "n_bytes", "digest").agg(F.first("payload").alias("payload"), F.count("*").alias("_n"))
+    row = F.sha1(F.concat("digest", "url").cast("binary"))
+    dealt = folded.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    dealt = dealt.withColumn("number", F.concat(row, F.lit("."), F.col("_nth").cast("string"))).drop("_n", "_nth")
+    return alone.unionByName(dealt)
+
+
 def captures(pages: DataFrame, *, id_col: str, url_col: str, payload_col: str, smallest: int = SMALLEST_REVISITED) -> DataFrame:
-    """Pages with their digest and, for all but the largest id of equal payloads, the id they refer to."""
+    """Pages with their digest, a record number and, for all but the largest id of equal payloads, id and record
+    number of the response they refer to."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(
+    read = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("url"),
         payload.alias("payload"),
         F.octet_length(payload).alias("n_bytes"),
         F.sha1(payload.cast("binary")).alias("digest"),
     )
+    rows = _numbered(read)
     # A digest is counted before anything is joined to it; copies of one payload meet in a join, which AQE may split.
-    holder = rows.where(F.col("n_bytes") >= smallest).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("copies"))
+    holder = rows.where(F.col("n_bytes") >= smallest).groupBy("digest").agg(
+        F.max(F.struct("page_id", "number")).alias("holder"), F.count("*").alias("copies")
+    )
     shared = holder.where("copies > 1").drop("copies")
-    refers = F.when(F.col("holder") != F.col("page_id"), F.col("holder"))
-    return rows.join(shared, "digest", "left").withColumn("refers_to", refers).drop("holder")
+    other = F.col("holder")["page_id"] != F.col("page_id")
+    refers = {"refers_to": F.when(other, F.col("holder")["page_id"]), "refers_number": F.when(other, F.col("holder")["number"])}
+    return rows.join(shared, "digest", "left").withColumns(refers).drop("holder")
 
 
 def write_warc(captured: DataFrame, path: str, *, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Three records per capture, in gzip files of at most `rows_per_file` captures."""
-    page, revisit = F.col("page_id"), F.col("refers_to").isNotNull()
+    page, number, revisit = F.col("page_id"), F.col("number"), F.col("refers_to").isNotNull()
     uri = ("WARC-Target-URI", F.col("url"))
-    answer_id = F.when(revisit, _urn("revisit", page)).otherwise(_urn("response", page))
+    answer_id = F.when(revisit, _urn("revisit", page, number)).otherwise(_urn("response", page, number))
     together = ("WARC-Concurrent-To", answer_id)
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     http = ("Content-Type", F.lit("application/http; msgtype=response"))
     get = F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n"))
-    request = _record("request", _urn("request", page), [uri, together, ("Content-Type", F.lit("application/http; msgtype=request"))], get)
+    request = _record("request", _urn("request", page, number), [uri, together, ("Content-Type", F.lit("application/http; msgtype=request"))], get)
     response = _record("response", answer_id, [uri, digest, http], F.concat(F.lit(HTTP_HEAD), F.col("payload")))
     again = _record(
         "revisit",
         answer_id,
-        [uri, digest, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", _urn("response", F.col("refers_to"))), http],
+        [uri, digest, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", _urn("response", F.col("refers_to"), F.col("refers_number"))), http],
         F.lit(HTTP_HEAD),
     )
     metadata = _record(
         "metadata",
-        _urn("metadata", page),
+        _urn("metadata", page, number),
         [uri, together, ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("page-id: "), page.cast("string"), F.lit(EOL)),
+        F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(EOL)),
     )
     answer = F.when(revisit, again).otherwise(response)
     records = captured.select(F.array_join(F.array(request, answer, metadata), RECORD_END).alias("value"))
@@ -173,4 +202,9 @@ def transactions(records: DataFrame) -> DataFrame:
 
 def page_of(urn: Column) -> Column:
     """The id within an identifier made by `write_warc`."""
-    return F.regexp_extract(urn, r":(-?\d+)>$", 1).try_cast("long")
+    return F.regexp_extract(urn, r"^<urn:page:\w+:(-?\d+)(:[^>]*)?>$", 1).try_cast("long")
+
+
+def without_number(urn: Column) -> Column:
+    """An identifier made by `write_warc` without its record number, null where it holds no id."""
+    return F.when(page_of(urn).isNotNull(), F.regexp_replace(urn, r"^(<urn:page:\w+:-?\d+):[^>]*>$", "$1>"))
