@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trafficlens.operators import gauge, lookup, periods
+from trafficlens.operators import gauge, lookup, periods, stats
+from trafficlens.plans import queries
 from trafficlens.plans.live import LiveJob
+from trafficlens.plans.report import period_report
 from trafficlens.sources import text_log
 
 
@@ -94,3 +96,28 @@ def test_live_job_parses_once_and_keeps_rejects(spark, tmp_path):
     assert report.select("period_start").distinct().count() >= 6
     job.parse(str(landing), max_files=1, availableNow=True).awaitTermination()  # nothing is read twice
     assert job.rejects().count() == 3
+
+
+def test_live_queries_land_files_in_log_order_and_equal_batch(spark, monkeypatch):
+    landed = []
+    parse = LiveJob.parse
+    monkeypatch.setattr(LiveJob, "parse", lambda job, landing, **more: landed.append(landing) or parse(job, landing, **more))
+    job = queries._live(spark, "/root/testdata/sf0.001", "live-test")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landed[0])
+    times = {r.path: r.modificationTime for r in files.select("path", "modificationTime").collect()}
+    parsed = text_log.read_log(spark, landed[0])
+    log = text_log.good_rows(parsed)
+    spans = parsed.where("ts is not null").groupBy("file").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).collect()
+    spans = sorted(spans, key=lambda r: times[r.file])
+    assert len(spans) == queries.LANDING_FILES and all(a.last < b.first for a, b in zip(spans, spans[1:]))
+
+    lines = lambda df: sorted(tuple(r) for r in df.collect())
+    assert lines(job.rejects().select("line", "reason")) == lines(text_log.rejected_lines(parsed).select("line", "reason")) != []
+
+    period, closed = queries.STATS_PERIOD, F.lit(spans[-1].last) - F.make_dt_interval(secs=F.lit(queries.STREAM_DELAY_SECS))
+    job.report(period, max_files=1, availableNow=True).awaitTermination()
+    ours = spark.read.parquet(f"{job.path}/report").select("period_start", "line_no", "line")
+    batch = period_report(stats.in_fixed_periods(stats.partials(log), period), period)
+    ended = F.col("period_start") + F.make_dt_interval(secs=F.lit(period)) <= closed
+    want = lines(batch.where(ended).select("period_start", "line_no", "line"))
+    assert lines(ours) == want != []

@@ -17,7 +17,7 @@ from trafficlens.plans import report
 from trafficlens.plans.live import LiveJob
 from trafficlens.plans.derived import access_log, load_events, log_lines
 from trafficlens.schema import ACCESS_LOG
-from trafficlens.session import shared_path, prepare
+from trafficlens.session import prepare, shared_path, written
 from trafficlens.sources import text_log
 from trafficlens.streaming import gauge as stream_gauge
 from trafficlens.streaming import stats as stream_stats
@@ -471,14 +471,28 @@ def stream_alerts(spark, sf_dir):
 LANDING_FILES = 8
 
 
+def _land_in_order(lines: DataFrame, landing: str) -> None:
+    """One file per range of `ts`, written one after the other: streams take files by modification time."""
+    ranges = lines.repartitionByRange(LANDING_FILES, "ts").withColumn("part", F.spark_partition_id())
+    ranges = written(ranges, "landing-ranges")
+    spark, newest = lines.sparkSession, None
+    for part in range(LANDING_FILES):
+        one = ranges.where(F.col("part") == part).coalesce(1).sortWithinPartitions("ts")
+        one.select(F.col("line").alias("value")).write.mode("append").text(f"{landing}/range={part}")
+    listed = spark.read.format("binaryFile").load(landing).select("range", "modificationTime").orderBy("range").collect()
+    for row in listed:
+        if newest is not None and row["modificationTime"] <= newest:
+            raise RuntimeError("files of the landing folder are not in order of time: its clock is too coarse")
+        newest = row["modificationTime"]
+
+
 def _live(spark, sf_dir, label):
     """A live job over the derived log, landed as files in time order and read one at a time."""
     landing, out = shared_path(spark, f"{label}-in"), shared_path(spark, label)
     events = load_events(spark, sf_dir)
-    lines = log_lines(events).join(events.select("event_id", "ts"), "event_id")
-    ordered = lines.repartitionByRange(LANDING_FILES, "ts").sortWithinPartitions("ts")
-    ordered.select(F.col("line").alias("value")).write.mode("overwrite").text(landing)
-    job = LiveJob(spark, out, delay=f"{STREAM_DELAY_SECS} seconds")
+    _land_in_order(log_lines(events).join(events.select("event_id", "ts"), "event_id"), landing)
+    # One task parses a file, however long, so that the parsed files are in time order too.
+    job = LiveJob(spark, out, parser=lambda lines: clf.parse_clf(lines.coalesce(1)), delay=f"{STREAM_DELAY_SECS} seconds")
     job.parse(landing, max_files=1, availableNow=True).awaitTermination()
     return job
 
