@@ -228,6 +228,19 @@ def test_rates_equal_a_local_solution(spark):
     assert np.allclose(reached, [0.6, 0.3, 0.1], atol=2e-4)
 
 
+def test_rates_that_miss_a_target_say_so_and_are_the_best_found(spark):
+    """No document is nearly of one domain, so the targets are out of reach; more steps never end up worse."""
+    rng = np.random.default_rng(3)
+    member, tokens = rng.dirichlet([5.0, 5.0, 5.0], 40), rng.integers(1, 500, 40)
+    table = spark.createDataFrame([(int(t), m.tolist()) for t, m in zip(tokens, member)], "tokens long, memberships array<double>").coalesce(1)
+    want, errors = np.array([0.998, 0.001, 0.001]), []
+    for steps in (0, 2, 5):
+        with pytest.warns(UserWarning, match="miss a target"):
+            pulls = mixing.fit_rates(table, want.tolist(), steps=steps)
+        errors.append(np.abs((tokens * mixing._rates(member, pulls)) @ member / tokens.sum() - want).max())
+    assert errors == sorted(errors, reverse=True)
+
+
 def test_mix_of_odd_tables(spark, documents):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = documents([(1, None), (2, ""), (None, "some words"), (2, "")])
