@@ -3,12 +3,25 @@
 from collections.abc import Callable
 
 import corpus_pipeline
-import public_tokenizers
 from corpus_pipeline import DOMAINS, MIX, SHARDS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import ann, chat, decontaminate, minhash, mixing, quality, sharding, suffix_dedup, token_counts, warc
+from trafficlens.llm import (
+    ann,
+    chat,
+    decontaminate,
+    language,
+    minhash,
+    mixing,
+    periodic_runs,
+    prefix_trie,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 from trafficlens.session import shared_path, written
 
 NEIGHBOURS = 20
@@ -110,6 +123,8 @@ def op8_sharding(spark, sf_dir):
 
 @query
 def op9_token_counts(spark, sf_dir):
+    import public_tokenizers  # the other queries do without it
+
     path = public_tokenizers.path(TOKENIZER)
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), path, limit=TOKEN_LIMIT)
 
@@ -149,6 +164,82 @@ FROM p LEFT JOIN h USING (digest)
 """
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    tail = periodic_runs.repeated_tail(F.col("text"), F.floor(number / 10).cast("long"))
+    given = docs.withColumn("text", F.when(number % 10 == 0, tail).otherwise(F.col("text")))
+    found = periodic_runs.periodic_runs(given).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    best = F.col("best")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = prefix_trie.conversations_of_rows(rows, key="conv_id", turn="turn", role="role", text="text")
+    conv = F.col("conv_id")
+    shared = (F.crc32(conv.cast("string").cast("binary")) % 6).cast("int")
+    rebuilt = prefix_trie.with_shared_starts(own, conv - conv % 100, shared)
+    return prefix_trie.prefix_trie(rebuilt).drop("node")
+
+
+ORACLE["op12_prefix_trie"] = """
+WITH polynomial AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k:
+           CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) r(b)
+), ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (
+  SELECT conv_id, xor(list_reduce(
+           list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 6 AS h
+  FROM ids, polynomial
+), own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'said': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, sha256(concat(len(coalesce(role, '')), ':', role, text))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+  FROM own o JOIN hashed USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), member AS (
+  SELECT conv_id, d, len(turns) AS n, len(turns[d].said) AS chars,
+         min(conv_id) OVER (PARTITION BY d, turns[1:d]) AS node
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT node, d, count(*) AS n_convs, coalesce(any_value(chars), 0) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+  FROM member GROUP BY node, d
+), linked AS (
+  SELECT nodes.*, p.node AS parent FROM nodes LEFT JOIN member p ON p.conv_id = nodes.node AND p.d = nodes.d - 1
+), children AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT m.node, m.d, sum((n.n_convs - 1) * n.chars) AS saved, count(*) FILTER (c.n_children IS NULL) AS n_leaves
+  FROM nodes n JOIN member m ON m.conv_id = n.node AND m.d <= n.d LEFT JOIN children c ON c.node = n.node AND c.d = n.d
+  GROUP BY m.node, m.d
+)
+SELECT l.node AS conv_id, CAST(l.d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked l JOIN below b USING (node, d) LEFT JOIN children c USING (node, d)
+"""
+
+
+@query
+def op13_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identified(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
