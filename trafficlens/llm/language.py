@@ -6,8 +6,8 @@ probabilities of the languages from the two states there; a document's probabili
 positions, and the most probable language is predicted.
 
 The network is trained in numpy by backpropagation through time with Adam, on windows of a bounded, documented
-sample: at most FIT_ROWS labelled texts, the languages taken in turn, the texts of each by least hashed id, and
-FIT_WINDOWS windows of each text, spread evenly over it. Its parameters are broadcast; their size depends on
+sample: at most FIT_ROWS labelled texts, chosen by hash, about as many of each of the LANGUAGES most frequent
+languages, and FIT_WINDOWS windows of each text, spread evenly over it. Its parameters are broadcast; their size depends on
 HIDDEN and the number of languages only. Scoring reads every window of every text in one narrow stage.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without labelled texts so is every
@@ -20,11 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FIT_ROWS = 4096
+# Languages learnt: the most frequent ones.
+LANGUAGES = 64
 FIT_WINDOWS = 3
 WINDOW = 64
 HIDDEN = 12
@@ -143,14 +145,15 @@ def train(rows: np.ndarray, label: np.ndarray, languages: list[str], *, hidden:
 
 
 class Scorer:
-    """Probabilities of windows. The gates' sigmoids are taken as tanh, with their weights halved beforehand."""
+    """Probabilities of windows. The gates' sigmoids are taken as tanh, with their weights halved beforehand; gates and
+    candidates have arrays of their own, so that every step runs over contiguous memory."""
 
     def __init__(self, model: Model, block: int = BLOCK):
         self.size = size = model.states.shape[1]
-        half = np.ones(3 * size, np.float32)
-        half[: 2 * size] = 0.5
-        self.inputs, self.states = model.inputs * half, model.states * half
-        self.outputs, self.bias, self.block = model.outputs, model.bias, block
+        part = lambda x, a, b, by: np.ascontiguousarray(x[..., a * size : b * size] * np.float32(by))
+        self.gate_inputs, self.new_inputs = part(model.inputs, 0, 2, 0.5), part(model.inputs, 2, 3, 1)
+        self.gate_states, self.new_states = part(model.states, 0, 2, 0.5), part(model.states, 2, 3, 0.5)
+        self.outputs, self.bias, self.block = model.outputs.transpose(0, 2, 1).copy(), model.bias, block
 
     def sums(self, rows: np.ndarray) -> np.ndarray:
         """Sum of the positions' probabilities of each window, a column per language."""
@@ -161,30 +164,32 @@ class Scorer:
         size = self.size
         places = np.ascontiguousarray(rows.T, dtype=np.intp)
         padded = (places == _PAD).any(axis=1)
-        state = np.zeros((2, n, size), np.float32)
-        held, given = np.empty((2, n, 3 * size), np.float32), np.empty((2, n, 3 * size), np.float32)
-        logits = np.zeros((width, len(self.bias), n), np.float32)
-        logits += self.bias[:, None]
+        state, new, held = (np.zeros((2, n, size), np.float32) for _ in range(3))
+        gate, given = (np.empty((2, n, 2 * size), np.float32) for _ in range(2))
+        logits = np.empty((width, len(self.bias), n), np.float32)
+        logits[:] = self.bias[:, None]
         for t in range(width):
             ends = (t, width - 1 - t)
             for side in range(2):
-                np.take(self.inputs[side], places[ends[side]], axis=0, out=given[side], mode="clip")
-            np.matmul(state, self.states, out=held)
-            gate, new = held[..., : 2 * size], given[..., 2 * size :]
-            gate += given[..., : 2 * size]
+                np.take(self.gate_inputs[side], places[ends[side]], axis=0, out=given[side], mode="clip")
+                np.take(self.new_inputs[side], places[ends[side]], axis=0, out=new[side], mode="clip")
+            # One plus tanh is twice the gate: the candidate's states are halved, and so is the step below.
+            np.matmul(state, self.gate_states, out=gate)
+            gate += given
             np.tanh(gate, out=gate)
             gate += 1
-            gate *= 0.5
-            held[..., 2 * size :] *= gate[..., size:]
-            new += held[..., 2 * size :]
+            np.matmul(state, self.new_states, out=held)
+            held *= gate[..., size:]
+            new += held
             np.tanh(new, out=new)
             state -= new
+            state *= 0.5
             state *= gate[..., :size]
             state += new
             for side in range(2):
                 if padded[ends[side]]:
                     state[side][places[ends[side]] == _PAD] = 0
-                logits[ends[side]] += self.outputs[side].T @ state[side].T
+                logits[ends[side]] += self.outputs[side] @ state[side].T
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         logits *= (places != _PAD)[:, None] / logits.sum(axis=1, keepdims=True)
@@ -196,34 +201,40 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, text_col: str, lang_col: str, rows: int, id_col: str) -> DataFrame:
-    """At most `rows` labelled texts, the languages in turn; Spark limits the ranks of a language before the shuffle."""
-    known = docs.where(F.col(lang_col).isNotNull() & (F.coalesce(F.length(text_col), F.lit(0)) > 0))
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(id_col).alias("dice"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("dice", F.crc32("text")))
-    return known.withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("turn", "lang").limit(rows)
+    """Windows (`lang, parts`) of at most `rows` labelled texts, about as many of each language.
+
+    The languages are counted first; a text is taken if its hash lies below its language's share. Texts are cut to
+    windows where they are read, so no text moves.
+    """
+    known = docs.where(F.col(lang_col).isNotNull()).withColumn("_lang", F.col(lang_col).cast("string"))
+    counts = known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
+    share = F.lit(0.0)
+    for row in counts:
+        share = F.when(F.col("_lang") == row["_lang"], F.lit(min(1.0, rows / len(counts) / row["n"]))).otherwise(share)
+    dice = F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    chosen = known.withColumn("turn", dice / F.nullif(share, F.lit(0.0))).where("turn < 1")
+
+    def cut(batches):
+        for batch in batches:
+            parts = []
+            for text in batch["text"].to_pylist():
+                n = -(-len(text or b"") // WINDOW)
+                starts = np.unique(np.linspace(0, n - 1, FIT_WINDOWS).astype(int)) if n else []
+                parts.append([bytes(text[at * WINDOW : (at + 1) * WINDOW]) for at in starts])
+            yield pa.RecordBatch.from_arrays([batch["lang"], batch["turn"], pa.array(parts, pa.list_(pa.binary()))], ["lang", "turn", "parts"])
+
+    texts = chosen.select(F.col("_lang").alias("lang"), "turn", F.col(text_col).cast("binary").alias("text"))
+    return texts.mapInArrow(cut, "lang string, turn double, parts array<binary>").orderBy("turn", "lang", "parts").limit(rows)
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = FIT_ROWS) -> Model:
     """Learns from the documents whose id is not held out. The driver sees at most `rows` x FIT_WINDOWS windows."""
     learnt = docs.where(~F.coalesce(held_out(F.col(id_col)), F.lit(False)))
-
-    def cut(batches):
-        for batch in batches:
-            langs, parts = [], []
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                found = windows_of(text)
-                for at in np.unique(np.linspace(0, len(found) - 1, FIT_WINDOWS).astype(int)):
-                    langs.append(lang)
-                    parts.append(bytes(text[at * WINDOW : (at + 1) * WINDOW]))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
-
-    sample = _sample(learnt, text_col, lang_col, rows, id_col).select("lang", "text").mapInArrow(cut, "lang string, part binary")
-    found = sample.toArrow().sort_by([("lang", "ascending"), ("part", "ascending")])
-    langs, parts = found["lang"].to_pylist(), found["part"].to_pylist()
-    languages = sorted(set(langs))
-    label = np.array([languages.index(x) for x in langs], dtype=np.int64)
-    windows = np.concatenate([windows_of(p) for p in parts]) if parts else np.zeros((0, WINDOW), np.int16)
-    return train(windows, label, languages)
+    found = _sample(learnt, text_col, lang_col, rows, id_col).toArrow().to_pylist()
+    languages = sorted({r["lang"] for r in found if r["parts"]})
+    pairs = [(languages.index(r["lang"]), part) for r in found for part in r["parts"]]
+    windows = np.concatenate([windows_of(part) for _, part in pairs]) if pairs else np.zeros((0, WINDOW), np.int16)
+    return train(windows, np.array([k for k, _ in pairs], dtype=np.int64), languages)
 
 
 def identified(
