@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from trafficlens.operators import gauge, lookup, periods, stats
 from trafficlens.plans import queries
-from trafficlens.plans.live import LiveJob
 from trafficlens.plans.report import period_report
 from trafficlens.sources import text_log
+from trafficlens.streaming.live import LiveJob, Settings
 
 
 def _log(spark, seconds, **columns):
@@ -88,20 +88,18 @@ def test_live_job_parses_once_and_keeps_rejects(spark, tmp_path):
         lines = [f'h - u [02/Nov/2020:10:0{i}:{s:02d} +0000] "GET /x HTTP/1.0" 200 5' for s in range(30)] + [f"broken {i}"]
         (landing / f"f{i}").write_text("\n".join(lines) + "\n")
         os.utime(landing / f"f{i}", (1_600_000_000 + i, 1_600_000_000 + i))
-    job = LiveJob(spark, str(tmp_path / "job"))
-    job.parse(str(landing), max_files=1, availableNow=True).awaitTermination()
+    job = LiveJob(spark, str(tmp_path / "job"), settings=Settings(stats_period=10))
+    job.start(str(landing), max_files=1, availableNow=True).awaitTermination()
     assert sorted((r.line, r.reason) for r in job.rejects().collect()) == [(f"broken {i}", "structure") for i in range(3)]
-    job.report(10, max_files=1, availableNow=True).awaitTermination()
-    report = spark.read.parquet(f"{job.path}/report")
-    assert report.select("period_start").distinct().count() >= 6
-    job.parse(str(landing), max_files=1, availableNow=True).awaitTermination()  # nothing is read twice
+    assert job.report().select("period_start").distinct().count() >= 6
+    job.start(str(landing), max_files=1, availableNow=True).awaitTermination()  # nothing is read twice
     assert job.rejects().count() == 3
 
 
 def test_live_queries_land_files_in_log_order_and_equal_batch(spark, monkeypatch):
     landed = []
-    parse = LiveJob.parse
-    monkeypatch.setattr(LiveJob, "parse", lambda job, landing, **more: landed.append(landing) or parse(job, landing, **more))
+    start = LiveJob.start
+    monkeypatch.setattr(LiveJob, "start", lambda job, landing, **more: landed.append(landing) or start(job, landing, **more))
     job = queries._live(spark, "/root/testdata/sf0.001", "live-test")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landed[0])
     times = {r.path: r.modificationTime for r in files.select("path", "modificationTime").collect()}
@@ -115,8 +113,7 @@ def test_live_queries_land_files_in_log_order_and_equal_batch(spark, monkeypatch
     assert lines(job.rejects().select("line", "reason")) == lines(text_log.rejected_lines(parsed).select("line", "reason")) != []
 
     period, closed = queries.STATS_PERIOD, F.lit(spans[-1].last) - F.make_dt_interval(secs=F.lit(queries.STREAM_DELAY_SECS))
-    job.report(period, max_files=1, availableNow=True).awaitTermination()
-    ours = spark.read.parquet(f"{job.path}/report").select("period_start", "line_no", "line")
+    ours = job.report().select("period_start", "line_no", "line")
     batch = period_report(stats.in_fixed_periods(stats.partials(log), period), period)
     ended = F.col("period_start") + F.make_dt_interval(secs=F.lit(period)) <= closed
     want = lines(batch.where(ended).select("period_start", "line_no", "line"))

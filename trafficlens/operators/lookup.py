@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trafficlens.functions.clock import epoch_second
 from trafficlens.operators.scan import DAY_SECS, match, scan
 from trafficlens.schema import require_positive
+from trafficlens.session import written
 
 # Ticks per second of the supported resolutions and rows per block for each (see `scan`).
 RESOLUTIONS = {
@@ -47,6 +48,52 @@ def fetch_intervals(
     return joined.where(F.col("_sec").between(F.col("start_sec"), F.col("end_sec"))).drop("_sec", "_block")
 
 
+# Seconds of a block grow by this factor from level to level.
+_FAN = 16
+# Levels up to a block that holds all time there is.
+_LEVELS = 11
+
+
+def interval_cover(intervals: DataFrame) -> DataFrame:
+    """Each interval (`start_sec`, `end_sec`, inclusive) as blocks `_level, _block`: disjoint, of _FAN ** level seconds
+    each, aligned, and together exactly the interval; at most 2 x (_FAN - 1) of a level, however long it is.
+
+    An interval that ends before it starts gets none.
+    """
+    size = lambda level: F.pow(F.lit(float(_FAN)), level).cast("long")
+    up = lambda sec, level: -F.floor(-sec / size(level)).cast("long")
+    down = lambda sec, level: F.floor(sec / size(level)).cast("long")
+    start, stop, level = F.col("start_sec"), F.col("end_sec") + 1, F.col("_level")
+    leveled = intervals.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1))))
+    # Whole blocks of this level, less those that make up whole blocks of the next one.
+    leveled = leveled.withColumns({"_from": up(start, level), "_to": down(stop, level)}).where("_from < _to")
+    above_from, above_to = up(start, level + 1) * _FAN, down(stop, level + 1) * _FAN
+    whole = (above_from >= above_to) | (level == _LEVELS - 1)
+    leveled = leveled.withColumns(
+        {"_left": F.when(whole, F.col("_to")).otherwise(above_from), "_right": F.when(whole, F.col("_to")).otherwise(above_to)}
+    )
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    blocks = F.concat(run(F.col("_from"), F.col("_left")), run(F.col("_right"), F.col("_to")))
+    return leveled.withColumn("_block", F.explode(blocks)).drop("_from", "_to", "_left", "_right")
+
+
+def fetch_intervals_mixed(log: DataFrame, intervals: DataFrame, *, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """`fetch_intervals` for intervals of very different lengths, from a second to the whole log.
+
+    An interval is laid out on a number of blocks that grows with the logarithm of its length, and a log row meets
+    one block per level that occurs, so that rows and intervals still meet by equality. The levels in use, eleven at
+    most, are looked up first. Blocks make up exactly the interval: what meets belongs to it.
+    """
+    cover = written(interval_cover(intervals), "interval-cover")
+    levels = sorted(r["_level"] for r in cover.select("_level").distinct().collect())
+    if not levels:
+        levels = [0]
+    rows = log.withColumn("_sec", epoch_second(F.col(ts)))
+    at = F.array(*[F.struct(F.lit(n).alias("_level"), F.floor(F.col("_sec") / _FAN**n).cast("long").alias("_block")) for n in levels])
+    rows = rows.select("*", F.inline(at)).drop("_sec")
+    return match(rows, cover, [*keys, "_level", "_block"]).drop("_level", "_block")
+
+
 def first_timestamp(log: DataFrame, *, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
     """First timestamp as epoch milliseconds, -1 for an empty log (per key there is none then)."""
     found = log.groupBy(*keys).agg(F.min(ts).alias("_ts"))

@@ -20,6 +20,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A second before any log row: a new period may start at once.
 _NEVER = -(2**62)
+# Seconds from the first to the last timestamp there can be (years 1 to 9999), rounded up.
+_SPAN_SECS = 2**39
+# Rows of a group in which functions of blocks are put together, about.
+FAN_ROWS = 2**18
 
 
 def with_fixed_period(rows: DataFrame, period_secs: int, *, ts: str = "ts", origin: int = 0) -> DataFrame:
@@ -52,74 +56,115 @@ def occupied_seconds(rows: DataFrame, *, ts: str = "ts", keys: Sequence[str] = (
 
 
 def anchored_periods(
-    seconds: DataFrame, period_secs: int, *, keys: Sequence[str] = (), block_secs: int | None = None
-) -> DataFrame:
+    seconds: DataFrame, period_secs: int, *, keys: Sequence[str] = (), block_secs: int | None = None,
+    fan: int | None = None,
+) -> DataFrame:
     """Give every occupied second its data-anchored period: `keys, sec, period_start_sec`.
 
     A period starts at the first occupied second after the one before has ended, so every start
     depends on all earlier ones. The chain is cut at block edges. All it can carry over an edge is
     the second from which a new period may start, so:
 
-    1. each block reports, per second a chain may enter it by, where that chain leaves it;
-    2. these reports are linked up block after block (per key, at most `period_secs` rows a block);
-    3. each block, now knowing its entry, assigns its seconds.
+    1. each block reports, per second a chain may enter it by, where that chain leaves it: a monotone
+       step function of at most `period_secs` + 1 steps;
+    2. the functions of `fan` neighbouring blocks are composed to that of a larger block, and so on up to
+       a block that holds any time there is;
+    3. from there down, each block hands its entry on through the blocks it consists of;
+    4. each block of seconds, now knowing its entry, assigns its seconds.
 
-    Three shuffles whatever the length of the log; `seconds` has one row per occupied second, so a
-    block holds at most `block_secs` rows however many log rows fall on them.
+    A group holds the seconds of one block or `fan` functions, about FAN_ROWS rows, however long the log of a key
+    is; the number of shuffles depends on the block length only.
     """
     require_positive("period_secs", period_secs)
     period = int(period_secs)
     block = int(block_secs or max(DAY_SECS, 32 * period))
     if block < period:
         raise ValueError("block_secs must not be shorter than the period")
-    group = [*keys, "_block"]
-    marked = seconds.select(*keys, "sec", F.floor(F.col("sec") / block).cast("long").alias("_block"))
+    fan = int(fan or min(max(FAN_ROWS // (period + 1), 2), 4096))
+    require_positive("fan - 1", fan - 1)
+    # Blocks are numbered from before the first timestamp there can be, so that one of the top level holds all.
+    first = -(-_SPAN_SECS // 2 // block)
+    levels, size = 1, fan
+    while size < 2 * first + 2:
+        levels, size = levels + 1, size * fan
+    group, above = [*keys, "_block"], [*keys, "_above"]
+    number = F.floor(F.col("sec") / block).cast("long") + first
+    marked = seconds.select(*keys, "sec", number.alias("_block"))
     key_fields = [marked.schema[k] for k in keys]
-    long = T.LongType()
+    fields = lambda *names: T.StructType([*key_fields, *[T.StructField(n, T.LongType()) for n in names]])
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
         secs = np.sort(pdf["sec"].to_numpy())
         free_at = _chain_exits(secs, period)
-        edge = int(pdf["_block"].iloc[0]) * block + period
-        last_entry = min(int(np.searchsorted(secs, edge)), len(secs) - 1)
-        entries, exits = secs[: last_entry + 1], free_at[: last_entry + 1]
-        # Of neighbours with the same exit the last one stands for all: lookups take the first
-        # entry not before the carried second.
-        keep = np.append(exits[1:] != exits[:-1], True)
-        return _frame(pdf, group, entry=entries[keep], free_at=exits[keep])
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        edge = (int(pdf["_block"].iloc[0]) - first) * block + period
+        return _frame(pdf, group, **_steps(secs, free_at, edge))
+
+    def functions(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
         pdf = pdf.sort_values(["_block", "entry"], kind="stable")
         blocks, starts = np.unique(pdf["_block"].to_numpy(), return_index=True)
-        entry, free_at = pdf["entry"].to_numpy(), pdf["free_at"].to_numpy()
-        ends = np.append(starts[1:], len(entry))
-        carried = np.empty(len(blocks), dtype="int64")
-        now = _NEVER
-        for i, (lo, hi) in enumerate(zip(starts, ends)):
-            carried[i] = now
-            at = lo + int(np.searchsorted(entry[lo:hi], now))
-            now = free_at[at] if at < hi else now
-        return _frame(pdf, keys, _block=blocks, free_at=carried)
+        entry, free_at = np.split(pdf["entry"].to_numpy(), starts[1:]), np.split(pdf["free_at"].to_numpy(), starts[1:])
+        return list(zip(blocks.tolist(), entry, free_at))
+
+    def composer(level: int):
+        def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+            number = int(pdf["_above"].iloc[0])
+            edge = (number * fan ** (level + 1) - first) * block + period
+            entries = exits = np.zeros(0, dtype="int64")
+            for _, entry, free_at in functions(pdf):
+                # What has come in so far goes on; later seconds may be the first to be met.
+                exits = _through(entry, free_at, exits)
+                later = entry > entries[-1] if len(entries) and entries[-1] < edge else np.full(len(entry), not len(entries))
+                entries, exits = np.append(entries, entry[later]), np.append(exits, free_at[later])
+            return _frame(pdf, keys, _block=number, **_steps(entries, exits, edge))
+
+        return compose
+
+    def link(pdf: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({n: [] for n in [*keys, "_block", "free_at"]})
+        now = int(carried["free_at"].iloc[0]) if len(carried) else _NEVER
+        blocks, entered = [], []
+        for number, entry, free_at in functions(pdf):
+            blocks.append(number)
+            entered.append(now)
+            now = int(_through(entry, free_at, np.array([now]))[0])
+        return _frame(pdf, keys, _block=blocks, free_at=entered)
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         secs = np.sort(pdf["sec"].to_numpy())
         starts = _chain_starts(secs, int(pdf["free_at"].iloc[0]), period)
         return _frame(pdf, keys, sec=secs, period_start_sec=starts)
 
-    reports = marked.groupBy(*group).applyInPandas(
-        report,
-        T.StructType([*key_fields, T.StructField("_block", long), T.StructField("entry", long), T.StructField("free_at", long)]),
-    )
-    carried = reports.groupBy(*keys).applyInPandas(
-        link,
-        T.StructType([*key_fields, T.StructField("_block", long), T.StructField("free_at", long)]),
-    )
-    return match(marked, carried, group).groupBy(*group).applyInPandas(
-        assign,
-        T.StructType([*key_fields, T.StructField("sec", long), T.StructField("period_start_sec", long)]),
-    )
-
-
+    up = lambda df: df.withColumn("_above", F.floor(F.col("_block") / fan).cast("long"))
+    parts = [up(marked.groupBy(*group).applyInPandas(report, fields("_block", "entry", "free_at")))]
+    for level in range(levels - 1):
+        composed = parts[-1].groupBy(*above).applyInPandas(composer(level), fields("_block", "entry", "free_at"))
+        parts.append(up(composed))
+    carried = None
+    for functions_of in reversed(parts):
+        of_blocks, out = functions_of.groupBy(*above), fields("_block", "free_at")
+        if carried is None:  # every chain begins at the top
+            nothing = pd.DataFrame({"free_at": []})
+            carried = of_blocks.applyInPandas(lambda pdf: link(pdf, nothing), out)
+        else:
+            entered = carried.withColumnRenamed("_block", "_above")
+            carried = of_blocks.cogroup(entered.groupBy(*above)).applyInPandas(link, out)
+    return match(marked, carried, group).groupBy(*group).applyInPandas(assign, fields("sec", "period_start_sec"))
+
+
+def _steps(entries: np.ndarray, exits: np.ndarray, edge: int) -> dict[str, np.ndarray]:
+    """The step function for chains that enter up to `edge`. Of neighbours with the same exit the last one stands
+    for all: lookups take the first entry not before the carried second."""
+    last = min(int(np.searchsorted(entries, edge)), len(entries) - 1)
+    entries, exits = entries[: last + 1], exits[: last + 1]
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return {"entry": entries[keep], "free_at": exits[keep]}
+
+
+def _through(entry: np.ndarray, free_at: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Where chains that carry `now` leave a block; those beyond its last entry pass unchanged."""
+    at = np.searchsorted(entry, now)
+    return np.where(at < len(entry), free_at[np.minimum(at, len(entry) - 1)], now)
 
 
 def _frame(pdf: pd.DataFrame, constant: Sequence[str], **columns) -> pd.DataFrame:
@@ -247,6 +292,15 @@ def apply_per_period_pandas(
     `spread` parts of a period first and then by period. Rows are sorted by period within their
     partition, so that a batch holds few periods however the log is ordered.
     """
+    partials = period_partials(rows, period_secs, partial, schema, keys=keys, anchored=anchored, ts=ts)
+    return merged_partials(partials, merge, schema, keys=keys, spread=spread)
+
+
+def period_partials(
+    rows: DataFrame, period_secs: int, partial: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType, *,
+    keys: Sequence[str] = (), anchored: bool = False, ts: str = "ts",
+) -> DataFrame:
+    """`keys, period_start, period_end` and the columns of `schema`: `partial` of each batch's rows of a period."""
     placed = (
         with_anchored_period(rows, period_secs, ts=ts, keys=keys)
         if anchored
@@ -254,7 +308,6 @@ def apply_per_period_pandas(
     )
     bounds = [*keys, "period_start", "period_end"]
     out = T.StructType([*[placed.schema[c] for c in bounds], *schema.fields])
-    placed = placed.sortWithinPartitions(*bounds)
 
     def by_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -265,11 +318,21 @@ def apply_per_period_pandas(
             if parts:
                 yield pd.concat(parts)[[*bounds, *schema.names]]
 
+    return placed.sortWithinPartitions(*bounds).mapInPandas(by_batch, out)
+
+
+def merged_partials(
+    partials: DataFrame, merge: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType, *,
+    keys: Sequence[str] = (), spread: int = 64,
+) -> DataFrame:
+    """One result per key and period of partials, which may themselves be results: by parts of a period first."""
+    bounds = [*keys, "period_start", "period_end"]
+    out = T.StructType([*[partials.schema[c] for c in bounds], *schema.fields])
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         merged = merge(pdf[schema.names])
         return merged.assign(**{c: pdf[c].iloc[0] for c in bounds})[[*bounds, *schema.names]]
 
-    partials = placed.mapInPandas(by_batch, out)
     spread_out = partials.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(spread)))
     folded = spread_out.groupBy(*bounds, "_part").applyInPandas(fold, out)
     return folded.groupBy(*bounds).applyInPandas(fold, out)

@@ -3,11 +3,15 @@
 from trafficlens.plans.derived import MALFORMED
 from trafficlens.plans.queries import (
     ANCHORED_PERIOD,
+    AUDIT,
     BYTE_LIMIT,
     DAY,
     GAUGE,
+    HISTOGRAM,
     HOUR,
     INTERVAL,
+    LATE_EVERY,
+    MIXED,
     PERIOD_LENGTHS,
     START_FROM,
     STATS_PERIOD,
@@ -135,7 +139,7 @@ _PROBES = "probes AS (SELECT event_id, sec + (user_id * 7) % 600 AS probe FROM a
 _SECS = "secs AS (SELECT DISTINCT sec FROM access_log)"
 
 
-def _report() -> str:
+def _report(table: str = "access_log", *ctes: str) -> str:
     facts = [
         (1, f"'{REPORT_NAME}'"),
         (2, f"'{'=' * len(REPORT_NAME)}'"),
@@ -159,7 +163,8 @@ def _report() -> str:
             f"FROM ranked WHERE dim = '{dim}' AND rank <= 10"
         )
     body = "SELECT period_start, CAST(line_no AS INTEGER) AS line_no, line FROM (" + " UNION ALL ".join(parts) + ")"
-    return _with(body, f"facts AS ({_FACTS})", _HOURLY_DIMS, _COUNTED, _RANKED)
+    of_table = [cte.replace("FROM access_log", f"FROM {table}") for cte in (f"facts AS ({_FACTS})", _HOURLY_DIMS)]
+    return _with(body, *ctes, *of_table, _COUNTED, _RANKED)
 
 
 def _densified_average(bucket: int, period: int) -> str:
@@ -301,6 +306,18 @@ ORACLE: dict[str, str] = {
         f"SELECT day, event_id, ts FROM access_log JOIN spans ON sec BETWEEN s AND s + {HOUR - 1}",
         "spans AS (SELECT CAST(ts AS DATE) AS day, min(sec) AS s FROM access_log WHERE resource LIKE '/error%' GROUP BY 1)",
     ),
+    "interval_join_mixed": _with(
+        "SELECT day, power, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(ts) AS first_ts, max(ts) AS last_ts "
+        "FROM access_log JOIN spans ON sec BETWEEN s AND s + CAST(pow(4, power) AS BIGINT) - 1 GROUP BY 1, 2",
+        "firsts AS (SELECT CAST(ts AS DATE) AS day, min(sec) AS s FROM access_log WHERE resource LIKE '/error%' GROUP BY 1)",
+        f"spans AS (SELECT day, s, CAST(unnest(range(0, {MIXED})) AS INTEGER) AS power FROM firsts)",
+    ),
+    "roundtrip_multiset": _with(
+        f"""SELECT CAST(ts AS DATE) AS day, count(*) AS n_left,
+          CAST(count(*) - count(*) FILTER (event_id = {AUDIT["lost"]}) + count(*) FILTER (event_id = {AUDIT["doubled"]}) AS BIGINT) AS n_right,
+          count(*) FILTER (event_id IN ({", ".join(map(str, AUDIT.values()))})) = 0 AS same
+        FROM access_log WHERE reason IS NULL GROUP BY 1"""
+    ),
     "first_ts": _with("SELECT coalesce(min(sec) * 1000, -1) AS first_millis FROM access_log"),
     "next_ts_after": _with(
         f"SELECT event_id, {_at('probe')} AS probe_ts, coalesce(secs.sec, -1) AS next_sec FROM probes ASOF LEFT JOIN secs ON probe < secs.sec",
@@ -339,6 +356,39 @@ ORACLE: dict[str, str] = {
     ),
 }
 
-# The continuous job gives what the batch job and the single streams give.
+# The continuous job gives what the batch job gives for what its clock has passed.
 ORACLE["stream_rejects"] = ORACLE["rejected_lines"]
-ORACLE["stream_job"] = ORACLE["stream_alerts"]
+_GOOD = "good AS (SELECT * FROM access_log WHERE reason IS NULL)"
+_OVER = f"(SELECT max(sec) FROM good) - {STREAM_DELAY_SECS}"
+_FACT_COLUMNS = (
+    f"{_at('p')} AS period_start, {_at(f'p + {STATS_PERIOD - 1}')} AS period_end, from_ts, n, "
+    f"CAST(n AS DOUBLE) / {STATS_PERIOD} AS rate, bytes_in, bytes_out, bytes_total"
+)
+ORACLE["stream_job"] = f"""
+WITH every_line AS ({_report('good', _GOOD)}),
+alert AS ({ORACLE["stream_alerts"]}),
+rejected AS ({ORACLE["rejects_by_reason"]}),
+ended AS (WITH {ACCESS_LOG}, {_GOOD} SELECT {_OVER} AS at FROM good LIMIT 1)
+SELECT 'report' AS sink, period_start AS at, line_no, line FROM every_line, ended
+WHERE epoch(period_start) + {STATS_PERIOD} <= ended.at
+UNION ALL SELECT 'alert', bucket_ts, 1, line FROM alert
+UNION ALL SELECT 'rejects', NULL, 1, reason || ': ' || CAST(n AS VARCHAR) FROM rejected
+"""
+ORACLE["stream_anchored_stats"] = ORACLE["anchored_periods"].replace("FROM access_log", "FROM good").replace(
+    "secs AS (", f"{_GOOD}, secs AS (", 1
+).replace("access_log a JOIN", "good a JOIN").replace("FROM placed GROUP BY p", f"FROM placed GROUP BY p HAVING p + {ANCHORED_PERIOD} <= {_OVER}")
+ORACLE["stream_anchored_stats"] = ORACLE["stream_anchored_stats"].replace("SELECT * FROM good WHERE", "SELECT * FROM access_log WHERE")
+ORACLE["stream_flushed"] = _with(f"SELECT {_FACT_COLUMNS} FROM ({_FACTS.replace('access_log', 'good')})", _GOOD)
+ORACLE["stream_late_rows"] = _with(
+    f"SELECT CASE WHEN late THEN 'late' ELSE 'counted' END AS kind, {_at(_cell(STATS_PERIOD))} AS period_start, count(*) AS n "
+    "FROM parts GROUP BY 1, 2",
+    _GOOD,
+    # The late file's rows near the point where the other two meet are still in time.
+    f"parts AS (SELECT *, ts < TIMESTAMP '{START_FROM}' AND event_id % {LATE_EVERY} = 0 AS late FROM good)",
+)
+ORACLE["stream_custom_period"] = _with(
+    f"SELECT {_at('p')} AS period_start, CAST(max(total) AS BIGINT) AS n, min(bin) FILTER (met * 2 >= total) AS median_bin FROM running GROUP BY p",
+    _GOOD,
+    f"binned AS (SELECT {_cell(DAY)} AS p, least(bytes // {HISTOGRAM['width']}, {HISTOGRAM['bins'] - 1}) AS bin, count(*) AS n FROM good GROUP BY 1, 2)",
+    "running AS (SELECT p, bin, sum(n) OVER (PARTITION BY p ORDER BY bin) AS met, sum(n) OVER (PARTITION BY p) AS total FROM binned)",
+)

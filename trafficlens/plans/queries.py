@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 from trafficlens.functions import clf, derive, render
 from trafficlens.functions.clock import display_datetime, from_epoch, naive
-from trafficlens.operators import gauge, lookup, periods, stats
+from trafficlens.operators import audit, gauge, lookup, periods, stats
 from trafficlens.plans import report
-from trafficlens.plans.live import LiveJob
 from trafficlens.plans.derived import access_log, load_events, log_lines
 from trafficlens.schema import ACCESS_LOG
 from trafficlens.session import prepare, shared_path, written
 from trafficlens.sources import text_log
 from trafficlens.streaming import gauge as stream_gauge
+from trafficlens.streaming.live import Computation, LiveJob, Settings
 from trafficlens.streaming import stats as stream_stats
 
 HOUR, DAY = 3600, 86_400
@@ -31,6 +31,10 @@ BYTE_LIMIT = 2_000_000
 INTERVAL = ("2024-01-10 06:30:00", "2024-01-12 11:59:59")
 START_FROM = "2024-01-15 00:00:00"
 STREAM_DELAY_SECS = 600
+LATE_EVERY = 40
+AUDIT = {"lost": 10, "changed": 500, "doubled": 900}
+MIXED = 12
+HISTOGRAM = {"width": 1000, "bins": 64}
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -175,6 +179,18 @@ def roundtrip_audit(spark, sf_dir):
     )
 
 
+@query
+def roundtrip_multiset(spark, sf_dir):
+    """Rendered and parsed again, is every day's set of rows the same? One row is changed, one lost, one doubled."""
+    first = _parsed(spark, sf_dir).where(F.col("reject_reason").isNull())
+    rendered = first.select("event_id", render.clf_line().alias("line"))
+    event = F.col("event_id")
+    again = text_log.good_rows(clf.parse_clf(rendered.where(event != AUDIT["lost"])))
+    again = again.withColumn("bytes", F.when(event == AUDIT["changed"], F.col("bytes") + 1).otherwise(F.col("bytes")))
+    again = again.select("*", F.explode(F.when(event == AUDIT["doubled"], F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("col")
+    return audit.multiset_differences(first, again, ACCESS_LOG.names, by=[F.to_date("ts").alias("day")])
+
+
 @query
 def size_text(spark, sf_dir):
     """Sizes over all units: bytes of an event raised by powers of 1024."""
@@ -390,6 +406,21 @@ def interval_join(spark, sf_dir):
     return fetched.select("day", "event_id", "ts")
 
 
+@query
+def interval_join_mixed(spark, sf_dir):
+    """What lies within 4^0 to 4^11 seconds (48 days) of the first error event of each day: every length each day."""
+    log = _log(spark, sf_dir)
+    errors = log.where(F.col("resource").startswith("/error"))
+    firsts = errors.groupBy(F.to_date("ts").alias("day")).agg(F.min(F.unix_seconds("ts")).alias("start_sec"))
+    length = F.pow(F.lit(4.0), F.col("power")).cast("long")
+    intervals = firsts.withColumn("power", F.explode(F.sequence(F.lit(0), F.lit(MIXED - 1))))
+    intervals = intervals.withColumn("end_sec", F.col("start_sec") + length - 1)
+    fetched = lookup.fetch_intervals_mixed(log.select("event_id", "ts", "bytes"), intervals)
+    return fetched.groupBy("day", "power").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
 @query
 def first_ts(spark, sf_dir):
     return lookup.first_timestamp(_log(spark, sf_dir))
@@ -486,26 +517,100 @@ def _land_in_order(lines: DataFrame, landing: str) -> None:
         newest = row["modificationTime"]
 
 
-def _live(spark, sf_dir, label):
+LIVE = Settings(stats_period=STATS_PERIOD, gauge_period=GAUGE["period_secs"], threshold=GAUGE["threshold"], bucket_secs=HOUR)
+
+
+def _live(spark, sf_dir, label, job=LiveJob, **options):
     """A live job over the derived log, landed as files in time order and read one at a time."""
     landing, out = shared_path(spark, f"{label}-in"), shared_path(spark, label)
     events = load_events(spark, sf_dir)
     _land_in_order(log_lines(events).join(events.select("event_id", "ts"), "event_id"), landing)
-    # One task parses a file, however long, so that the parsed files are in time order too.
-    job = LiveJob(spark, out, parser=lambda lines: clf.parse_clf(lines.coalesce(1)), delay=f"{STREAM_DELAY_SECS} seconds")
-    job.parse(landing, max_files=1, availableNow=True).awaitTermination()
-    return job
+    live = job(spark, out, **{"settings": LIVE, "delay_secs": STREAM_DELAY_SECS, **options})
+    live.start(landing, max_files=1, availableNow=True).awaitTermination()
+    return live
 
 
 @query
 def stream_rejects(spark, sf_dir):
     """Lines a continuous job has set aside."""
-    return _live(spark, sf_dir, "live-rejects").rejects().select("line", "reason")
+    return _live(spark, sf_dir, "live-rejects", sinks=()).rejects().select("line", "reason")
 
 
 @query
 def stream_job(spark, sf_dir):
-    """Alerts of the continuous job, with state carried from file to file."""
+    """All that the continuous job writes, from one pass: report lines, alerts, number of rejects per reason."""
     job = _live(spark, sf_dir, "live-job")
-    job.gauge(GAUGE["period_secs"], GAUGE["threshold"], bucket_secs=GAUGE["bucket_secs"], max_files=1, availableNow=True).awaitTermination()
-    return spark.read.parquet(f"{job.path}/gauge/alerts").select("bucket_ts", "line")
+    rejects = job.rejects().groupBy("reason").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("timestamp")
+    out = lambda df, sink, at, no, line: df.select(F.lit(sink).alias("sink"), at.alias("at"), no.alias("line_no"), line.alias("line"))
+    line = F.col("line")
+    return (
+        out(job.report(), "report", F.col("period_start"), F.col("line_no"), line)
+        .unionByName(out(job.alerts(), "alert", F.col("bucket_ts"), F.lit(1), line))
+        .unionByName(out(rejects, "rejects", none, F.lit(1), F.concat("reason", F.lit(": "), F.col("n").cast("string"))))
+    )
+
+
+class _Replayed(LiveJob):
+    """Every batch is run again, as after a failure that came when its outputs had been written."""
+
+    def publish(self, batch, batch_id):
+        super().publish(batch, batch_id)
+        super().publish(batch, batch_id)
+
+
+@query
+def stream_anchored_stats(spark, sf_dir):
+    """Data-anchored statistics from a stream; open periods go on from batch to batch."""
+    anchored = Settings(stats_period=ANCHORED_PERIOD, gauge_period=DAY, bucket_secs=HOUR, anchored=True)
+    return _live(spark, sf_dir, "live-anchored", _Replayed, settings=anchored, sinks=["stats"]).stats()
+
+
+@query
+def stream_flushed(spark, sf_dir):
+    """The statistics of every hour: the last ones are closed at the end of the input."""
+    job = _live(spark, sf_dir, "live-flushed", sinks=["stats"])
+    job.flush()
+    return job.stats()
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """One file comes late: what its lines were, and what was counted without them, per hour."""
+    landing, out = shared_path(spark, "live-late-in"), shared_path(spark, "live-late")
+    events = load_events(spark, sf_dir)
+    early = F.col("ts") < F.to_timestamp_ntz(F.lit(START_FROM))
+    late = early & (F.col("event_id") % LATE_EVERY == 0)
+    part = F.when(late, F.lit(2)).when(early, F.lit(0)).otherwise(F.lit(1))
+    lines = written(log_lines(events).join(events.select("event_id", part.alias("part")), "event_id"), "late-lines")
+    job = LiveJob(spark, out, settings=LIVE, delay_secs=STREAM_DELAY_SECS, sinks=["stats"])
+    for number in range(3):
+        lines.where(F.col("part") == number).select("line").write.mode("append").text(f"{landing}/part={number}")
+        job.start(landing, availableNow=True).awaitTermination()
+    job.flush()
+    late_rows = job.late().groupBy(F.date_trunc("hour", "ts").alias("period_start")).agg(F.count("*").alias("n"))
+    return late_rows.select(F.lit("late").alias("kind"), "period_start", "n").unionByName(
+        job.stats().select(F.lit("counted").alias("kind"), "period_start", "n")
+    )
+
+
+@query
+def stream_custom_period(spark, sf_dir):
+    """A computation of the user's own on a stream: the median bin of a day's response sizes, from histograms."""
+    schema = T.StructType([T.StructField("bins", T.ArrayType(T.LongType()))])
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = (pdf["bytes"] // HISTOGRAM["width"]).clip(upper=HISTOGRAM["bins"] - 1).value_counts()
+        return pd.DataFrame({"bins": [[int(counts.get(b, 0)) for b in range(HISTOGRAM["bins"])]]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bins": [[int(sum(x)) for x in zip(*pdf["bins"])]]})
+
+    one = Computation("sizes", DAY, partial, merge, schema, columns=["bytes"])
+    job = _live(spark, sf_dir, "live-custom", computations=[one], sinks=())
+    job.flush()
+    n = F.aggregate("bins", F.lit(0).cast("long"), lambda total, x: total + x)
+    # The median bin is the first one by which half of the rows have been met.
+    met = F.transform(F.sequence(F.lit(1), F.size("bins")), lambda i: F.aggregate(F.slice("bins", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
+    median = F.array_position(F.transform(met, lambda m: m * 2 >= n), True) - 1
+    return job.computed("sizes").select("period_start", n.alias("n"), median.cast("long").alias("median_bin"))
