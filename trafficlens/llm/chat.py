@@ -1,6 +1,6 @@
 """Chat formatting by schema fingerprints.
 
-A record of any layout arrives as JSON. The paths of its nested fields, with their types, are hashed; the
+A record of any layout arrives as JSON. The paths of its nested fields that any mapping names are hashed; the
 fingerprint selects a declarative mapping which says where the turns are: in one array of messages, or in
 fields of their own such as prompt and response, or instruction, input and output. The turns are written in
 a template, together with the code point spans that a loss is taken over, and can be read back from it.
@@ -10,7 +10,8 @@ Template of a turn: `### Role: text </turn>` and a line feed, with the role as i
 in the output therefore always begins such a pair, marks are found by plain search, and undoing the pairs
 with the backslash last gives the text back whatever it holds.
 
-Defined cases: null texts and roles are empty; a record without turns, a layout without mapping, or invalid
+Defined cases: null texts and roles are empty, and a field that is null is still there; fields no mapping names do
+not matter, texts may be of any length, and numbers or nested values are taken as their JSON text; a record without turns, a layout without mapping, or invalid
 JSON gives no turns and `layout` null, and the row stays; turns of one number are in order of role and
 text; empty tables give empty results; columns besides the named ones are passed on by `canonical` only.
 """
@@ -30,23 +31,27 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """`shape`: the schema a record must have (objects list their fields by name). `turns`: either the path of
-    an array with the names of its role and text fields, or (role, path) pairs of single fields."""
+    """Where the turns are: either an array of objects, with the names of its role and text fields, or (role, name)
+    pairs of single fields. `paths` are the nested field paths a record of this layout has."""
 
     name: str
-    shapes: tuple[str, ...]
     array: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def paths(self) -> list[str]:
+        if self.array:
+            top, *inner = self.array
+            return sorted([top, *[f"{top}[].{field}" for field in inner]])
+        return sorted(name for _, name in self.fields)
+
 
 def _messages(name: str, top: str, role: str, text: str) -> Layout:
-    inner = ", ".join(f"{f}: STRING" for f in sorted((role, text)))
-    return Layout(name, (f"OBJECT<{top}: ARRAY<OBJECT<{inner}>>>",), array=(f"$.{top}", role, text))
+    return Layout(name, array=(top, role, text))
 
 
 def _fields(name: str, *turns: tuple[str, str]) -> Layout:
-    inner = ", ".join(f"{f}: STRING" for f in sorted(f for _, f in turns))
-    return Layout(name, (f"OBJECT<{inner}>",), fields=tuple((role, f"$.{f}") for role, f in turns))
+    return Layout(name, fields=turns)
 
 
 LAYOUTS = [
@@ -63,24 +68,41 @@ LAYOUTS = [
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths and types of a variant."""
-    return F.xxhash64(F.schema_of_variant(record))
+# Texts may be as long as a value can be.
+_OPTIONS = {"maxStringLen": str(2**31 - 1)}
+_OBJECT = "map<string,string>"
+
+
+def _objects(record: Column, top: str) -> Column:
+    """The array of objects in field `top`; null if it holds anything else."""
+    return F.from_json(record[top], f"array<{_OBJECT}>", _OPTIONS)
+
+
+def fingerprint(record: Column, layouts: list[Layout]) -> Column:
+    """Hash of the nested field paths of a record (a map of its fields) that any of `layouts` names: other fields
+    tell nothing. A path is there when its field is, whatever it holds, null too."""
+
+    def holds(inner: str):
+        return lambda x: F.coalesce(F.map_contains_key(x, F.lit(inner)), F.lit(False))
+
+    has = {}
+    for layout in layouts:
+        for path in layout.paths:
+            top, _, inner = path.partition("[].")
+            there = F.map_contains_key(record, F.lit(top))
+            if inner:
+                there = F.exists(_objects(record, top), holds(inner))
+            has[path] = F.coalesce(there, F.lit(False))
+    found = F.concat_ws(",", *[F.when(has[path], F.lit(path)) for path in sorted(has)])
+    return F.xxhash64(found)
 
 
 def _turns_of(layout: Layout, record: Column) -> Column:
+    text = lambda fields, name: F.coalesce(fields[name], F.lit(""))
     if layout.array:
-        path, role, text = layout.array
-        inner = F.variant_get(record, path, f"array<struct<`{role}`:string,`{text}`:string>>")
-        return F.transform(
-            inner, lambda m: F.struct(F.coalesce(m[role], F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
-        )
-    return F.array(
-        *[
-            F.struct(F.lit(role).alias("role"), F.coalesce(F.variant_get(record, path, "string"), F.lit("")).alias("text"))
-            for role, path in layout.fields
-        ]
-    )
+        top, role, said = layout.array
+        return F.transform(_objects(record, top), lambda m: F.struct(text(m, role).alias("role"), text(m, said).alias("text")))
+    return F.array(*[F.struct(F.lit(role).alias("role"), text(record, name).alias("text")) for role, name in layout.fields])
 
 
 def _named(turns: Column) -> Column:
@@ -90,10 +112,11 @@ def _named(turns: Column) -> Column:
 
 def canonical(records: DataFrame, json_col: str, layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """`records` with `layout` (null: none fits) and `turns`, an array of (role, text)."""
-    read = records.withColumn("_record", F.try_parse_json(json_col)).withColumn("_print", fingerprint(F.col("_record")))
+    fields = F.from_json(json_col, _OBJECT, _OPTIONS)
+    read = records.withColumn("_record", fields).withColumn("_print", fingerprint(F.col("_record"), layouts))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for one in layouts:
-        fits = F.col("_print").isin([F.xxhash64(F.lit(s)) for s in one.shapes])
+        fits = F.col("_print") == F.xxhash64(F.lit(",".join(one.paths)))
         layout = F.when(fits, F.lit(one.name)).otherwise(layout)
         turns = F.when(fits, _turns_of(one, F.col("_record")).cast(TURNS)).otherwise(turns)
     found = read.withColumns({"layout": layout, "turns": F.coalesce(_named(turns), F.array().cast(TURNS))})
