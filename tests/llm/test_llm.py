@@ -493,3 +493,49 @@ def test_pages_of_one_id_or_none_stay_captures(spark, tables, tmp_path):
 
 def warc_id(row):
     return int(row["answer"]["record_id"].rpartition(":")[2].rstrip(">"))
+
+
+def test_a_hot_group_leaves_no_shard_empty(spark, documents):
+    for where in (0, 5000, 350):  # the hot group first, last and amid the others
+        docs = [(where + i, "h" * 1000) for i in range(300)] + [(1000 + i, f"{i:04d}" + "s" * (100 + i % 37)) for i in range(700)]
+        got = sharding.shard(documents(docs), 8).collect()
+        loads = Counter()
+        for r in got:
+            loads[r["shard"]] += r["size"]
+        rest = sorted(loads.values())[:-1]
+        assert len(loads) == 8 and max(loads.values()) == 300 * 1001
+        assert max(rest) < 1.5 * sum(rest) / 7
+
+
+def test_even_ends_keep_the_capacity(spark):
+    rng = random.Random(12)
+    for _ in range(4):
+        sizes = [rng.choice([1, 2, 3, 50, 200]) for _ in range(rng.randint(9, 40))]
+        groups = spark.createDataFrame(list(enumerate(sizes)), "gkey long, gsize long")
+        totals = sharding.RunningTotals(groups)
+        capacity = _smallest_capacity(sizes, 6)
+        ends = totals.even(capacity, 6)
+        loads = [b - a for a, b in zip([0, *ends], ends)]
+        upto = {sum(sizes[:i]) for i in range(len(sizes) + 1)}
+        assert ends[-1] == sum(sizes) and set(ends) <= upto and max(loads) <= capacity and min(loads) > 0
+
+
+# --- chat: what layouts may hold ---------------------------------------------------------------
+
+
+def test_long_texts_nulls_and_other_fields_keep_their_turns(spark):
+    import json
+
+    big = 'é"\\' + "x" * 25_000_000
+    records = [
+        ({"prompt": big, "response": "b"}, "prompt_response", [("user", big), ("assistant", "b")]),
+        ({"id": 5, "messages": [{"role": "user", "content": big}, {"role": "gpt", "content": None, "name": "z"}]}, "messages", [("user", big), ("assistant", "")]),
+        ({"instruction": "s", "input": None, "output": "b"}, "instruction_input", [("system", "s"), ("user", ""), ("assistant", "b")]),
+        ({"instruction": "s", "output": "b", "id": 1}, "instruction", [("user", "s"), ("assistant", "b")]),
+        ({"prompt": 5, "completion": None}, "prompt_completion", [("user", "5"), ("assistant", "")]),
+        ({"messages": "no"}, None, []),
+    ]
+    table = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)], "id int, record string")
+    for r in chat.canonical(table, "record").collect():
+        _, layout, turns = records[r["id"]]
+        assert r["layout"] == layout and [tuple(t) for t in r["turns"]] == turns

@@ -12,7 +12,7 @@ no id at all are one group; repeated rows are rows; an empty table gives an empt
 are ignored. Shards may stay empty when there are fewer groups than shards.
 """
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,6 +73,48 @@ class RunningTotals:
                 found[i] = start + (row[f"c{i}"] or 0)
         return found
 
+    def reaching(self, limit: int) -> int:
+        """The smallest running total that is at least `limit` (0 to the total)."""
+        at = bisect_left(self.starts, limit) - 1
+        if at < 0 or limit <= 0:
+            return 0
+        block, start = self.blocks[at], self.starts[at]
+        near = self.table.where((F.col("block") == block) & (F.col("upto") >= limit - start))
+        return start + near.agg(F.min("upto")).first()[0]
+
+    def large(self, count: int) -> list[tuple[int, int]]:
+        """Start and end of the `count` largest groups, in running totals, by place."""
+        rows = self.table.orderBy(F.desc("gsize"), "gkey").limit(count).select("block", "upto", "gsize").collect()
+        start = dict(zip(self.blocks, self.starts))
+        return sorted((start[r["block"]] + r["upto"] - r["gsize"], start[r["block"]] + r["upto"]) for r in rows)
+
+    def even(self, capacity: int, shards: int) -> list[int]:
+        """Where contiguous shards end that are as even as that allows and no larger than `capacity`, which is feasible.
+
+        A group that is larger than an even share gets a shard of its own, and what lies between such groups is
+        shared evenly among the other shards. No shard ends before the place from which the rest fits into
+        the shards that are left.
+        """
+        least = [self.total]
+        for _ in range(shards - 1):
+            least.append(self.reaching(least[-1] - capacity))
+        least.reverse()
+        large, at, ends = self.large(shards), 0, []
+        for i in range(shards - 1):
+            ahead, left = [g for g in large if g[0] >= at], shards - i
+            share, alone = _share(self.total - at, left, [b - a for a, b in ahead])
+            start, end = next(((a, b) for a, b in ahead if b - a >= alone), (self.total, self.total))
+            if start > at:
+                parts = max(1, round((start - at) / max(share, 1)))
+                end = start if parts == 1 else self.fitting([at + (start - at) // parts])[0]
+            if end <= at < self.total:  # a group that does not fit into an even part
+                end = self.reaching(at + 1)
+            if end - at > capacity:
+                end = self.fitting([at + capacity])[0]
+            at = max(end, least[i])
+            ends.append(at)
+        return [*ends, self.total]
+
     def walk(self, capacities: list[int], shards: int) -> list[list[int]]:
         """Where greedy shards of each capacity end."""
         ends = [[] for _ in capacities]
@@ -112,6 +154,19 @@ class RunningTotals:
         return [keys.get(end) for end in ends]
 
 
+def _share(total: int, shards: int, large: list[int]) -> tuple[float, float]:
+    """An even share of what is left when each group above it has a shard of its own, and the least size of such
+    a group (infinite without any)."""
+    alone, kept = float("inf"), shards
+    share = total / kept
+    for size in sorted(large, reverse=True):
+        if size <= share or kept == 1:
+            break
+        alone, kept, total = size, kept - 1, total - size
+        share = total / kept
+    return share, alone
+
+
 def _shard_of(gkey: Column, cuts: list[int | None]) -> Column:
     """How many shards end before the group."""
     passed = [F.when(gkey > F.lit(cut), 1).otherwise(0) if cut is not None else F.lit(1) for cut in cuts]
@@ -136,7 +191,7 @@ def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str
 
     totals = RunningTotals(rows.groupBy("gkey").agg(F.sum("size").alias("gsize")))
     capacity = totals.smallest_capacity(shards)
-    ends = totals.walk([capacity], shards)[0]
+    ends = totals.even(capacity, shards)
     cuts = totals.last_keys(ends[:-1])
 
     dealt = rows.withColumn("shard", _shard_of(F.col("gkey"), cuts))
