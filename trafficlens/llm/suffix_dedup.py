@@ -14,7 +14,7 @@ one task: anchors with equal bytes on both sides are folded by counting, and the
 strings, each for a part of the offsets, until groups are small.
 
 Defined cases: a null text is an empty one; texts shorter than LENGTH keep all bytes; rows without an id keep
-their rows; repeated rows are rows and copies of one another; ids should not name two texts; other columns
+their rows; repeated rows are rows and copies of one another; rows of one id are told apart; other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.llm.row_ids import unique_ids, with_row_ids
 from trafficlens.llm.shingles import mix
 from trafficlens.session import written
 
@@ -347,17 +348,27 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame, *, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """`doc_id, n_bytes, n_removed, n_spans, kept_sha256` per row, and with `keep_bytes` the bytes left, `kept`
     (null: all of them)."""
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    if unique_ids(given, "doc_id"):
+        return _without(given, most, keep_bytes)
+    # Rows are told by numbers of their own.
+    keyed = with_row_ids(given)
+    out = _without(keyed.select(F.col("_row").alias("doc_id"), "text"), most, keep_bytes).withColumnRenamed("doc_id", "_row")
+    return keyed.select("_row", "doc_id").join(out, "_row").drop("_row")
+
+
+def _without(docs: DataFrame, most: int, keep_bytes: bool) -> DataFrame:
+    """`without_repeats` of rows (`doc_id, text`) with ids of their own."""
+    raw = F.col("text")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.md5(raw).alias("text_key"), F.length(raw).cast("long").alias("n_bytes"),
+        "doc_id", F.md5(raw).alias("text_key"), F.length(raw).cast("long").alias("n_bytes"),
         F.sha2(raw, 256).alias("whole_sha256"), raw.alias("text"),
     )
     schema = "doc_id long, text_key string, n_bytes long, whole_sha256 string, places array<bigint>, grams array<bigint>"
     anchored = written(rows.mapInArrow(_anchored, schema), "passage-texts")
-    node = F.coalesce(F.min("doc_id"), F.xxhash64("text_key"))
     texts = written(
         anchored.groupBy("text_key").agg(
-            node.alias("node"), F.count("*").alias("copies"), F.first("places").alias("places"), F.first("grams").alias("grams")
+            F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("places").alias("places"), F.first("grams").alias("grams")
         ),
         "passage-distinct",
     )
@@ -365,11 +376,11 @@ def without_repeats(docs: DataFrame, *, most: int = MOST, id_col: str = "doc_id"
     placed = placed.select("node", F.col("p.places").alias("at"), F.col("p.grams").alias("gram"))
     again = placed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     asked = written(placed.join(again, "gram").groupBy("node").agg(F.collect_list(F.struct("at", "gram")).alias("asked")), "passage-asked")
-    # One row per distinct text: rows that repeat an id are folded here.
-    named = rows.select(F.coalesce("doc_id", F.xxhash64("text_key")).alias("node"), "text")
+    # One row per distinct text: the one of the smallest id.
+    named = rows.select(F.col("doc_id").alias("node"), "text")
     if asked.count() <= BROADCAST_IDS:
         named = named.join(F.broadcast(asked.select("node")), "node", "left_semi")
-    wanted = written(named.join(asked, "node").dropDuplicates(["node"]), "passage-wanted")
+    wanted = written(named.join(asked, "node"), "passage-wanted")
 
     chunks = written(wanted.mapInArrow(_chunks, _CHUNK), "passage-chunks")
     between = _spans(chunks.where("gram is not null").select(F.col("gram").alias("key"), "node", "at", "before", "after"), most)
