@@ -8,14 +8,14 @@ probability of their weighted Jaccard similarity. If a coordinate stays empty th
 
 Coordinates are joined in bands. Equal texts are folded first. In each bucket of a band every text is
 compared with one of them, its centre (the one in the largest buckets), on their whole shingle multisets, so that
-buckets of any size take linear work; where that leaves more than one component among the others of a bucket, the texts outside the centre's component are compared with
-all, in blocks, by their sketches and then their shingles. Pairs that may be similar are verified on their whole
+buckets of any size take linear work; where that leaves more than one component among the others of a bucket, the
+texts outside the centre's component are compared with all, in blocks, by their sketches and then their shingles. Pairs that may be similar are verified on their whole
 shingle multisets, and classes are the connected components of the verified links.
 
 Defined cases: a null text is an empty one; texts without words are similar to equal texts only; equal texts
-always share a class; rows without an id keep their rows, and where no row of a text has an id a hash of the
-text stands in for it; repeated rows are rows; ids should not name two texts; other columns are ignored; an empty table
-gives an empty result.
+always share a class; rows without an id keep their rows; repeated rows are rows; rows of one id are told apart,
+and of several classes with the same smallest id the first by text is named by it, the others, like classes without
+an id, by a hash of their text; other columns are ignored; an empty table gives an empty result.
 """
 
 import math
@@ -25,10 +25,11 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.components import components
+from trafficlens.llm.row_ids import unique_ids, with_row_ids
 from trafficlens.llm.shingles import SIMILAR, mix, occurrences, similarity, weighted, word_hashes
 from trafficlens.session import written
 
@@ -240,15 +241,34 @@ def near_duplicates(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """`doc_id, class_id` per row of `docs`: the class is named by its smallest id."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if unique_ids(given, "doc_id"):
+        return _classes(given, threshold, bands, rows)
+    # Rows are told by numbers of their own, and classes named by ids afterwards.
+    keyed = with_row_ids(given)
+    found = _classes(keyed.select(F.col("_row").alias("doc_id"), "text"), threshold, bands, rows)
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")
+    found = found.withColumnRenamed("doc_id", "_row").join(keyed.select("_row", "doc_id", key), "_row")
+    found = written(found.drop("_row"), "near-found")
+    # An id may be the smallest of several classes: the first of them by text has it.
+    names = found.groupBy("class_id").agg(F.min("doc_id").alias("name"), F.min("text_key").alias("least"))
+    turn = F.row_number().over(Window.partitionBy("name").orderBy("least"))
+    by_id = F.col("name").isNotNull() & (turn == 1)
+    names = names.select("class_id", F.when(by_id, F.col("name")).otherwise(F.xxhash64("least")).alias("named"))
+    return found.join(names, "class_id").select("doc_id", F.col("named").alias("class_id"))
+
+
+def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """`doc_id, class_id` of rows (`doc_id, text`) with ids of their own."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     given = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("text_key"), word_hashes(text).alias("hashes")
+        "doc_id", F.md5(text.cast("binary")).alias("text_key"), word_hashes(text).alias("hashes")
     )
     schema = "doc_id long, text_key string, bands array<bigint>, sketch binary"
     with _small_batches(docs.sparkSession):
         sketched = written(given.mapInArrow(_sketch(bands, rows), schema), "near-sketches")
     folded = sketched.groupBy("text_key").agg(
-        F.coalesce(F.min("doc_id"), F.xxhash64("text_key")).alias("node"),
+        F.min("doc_id").alias("node"),
         F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch"),
     )
@@ -265,8 +285,7 @@ def near_duplicates(
     members = written(placed.drop("company").join(centres, "bucket"), "near-buckets")
 
     stars = members.where("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.md5(text.cast("binary")))).alias("node"), text.alias("text"))
-    texts = texts.dropDuplicates(["node"]) if _repeats(sketched) else texts
+    texts = docs.select(F.col("doc_id").alias("node"), text.alias("text"))
     links = _verified(stars.distinct(), texts, threshold)
     joined = written(components(links), "near-components")
 
@@ -283,12 +302,6 @@ def near_duplicates(
     return result.select("doc_id", "class_id")
 
 
-def _repeats(sketched: DataFrame) -> bool:
-    """Does an id occur twice, or not at all?"""
-    ids = sketched.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return bool(ids.where("n > 1 or doc_id is null").limit(1).count())
-
-
 def _unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
     """Members of buckets in which more than the centre's own comparisons are open."""
     part = members.where("size > 2").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -2,8 +2,6 @@
 
 from collections.abc import Callable
 
-import corpus_pipeline
-from corpus_pipeline import DOMAINS, MIX, SHARDS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +20,7 @@ from trafficlens.llm import (
     token_counts,
     warc,
 )
+from trafficlens.llm.parameters import DOMAINS, MIX, SHARDS
 from trafficlens.session import shared_path, written
 
 NEIGHBOURS = 20
@@ -242,8 +241,6 @@ def op13_language_id(spark, sf_dir):
 
 @query
 def pipeline(spark, sf_dir):
-    return corpus_pipeline.run(spark, sf_dir)
-
+    import corpus_pipeline  # the operators do without it
 
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return corpus_pipeline.run(spark, sf_dir)
