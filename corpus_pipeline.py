@@ -2,19 +2,18 @@
 documents that hold benchmark items, mixes domains to target weights, and deals the rest into shards.
 
 Each stage takes the table the one before has written and returns a table; all but the last return the columns
-of `documents`, whatever other columns those are. Rows without an id are told apart by their text.
+of `documents`, whatever other columns those are. Decisions are on rows: of rows that share an id or have none, each
+goes or stays for itself. Empty tables give empty tables.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm import decontaminate, minhash, mixing, quality, sharding
+from trafficlens.llm.parameters import DOMAINS, MIX, SHARDS
+from trafficlens.llm.row_ids import unique_ids, with_row_ids
 from trafficlens.session import written
 
-# Domains told by the label table (the first condition that holds), and their shares of the tokens of the mix.
-DOMAINS = {"toxic": "toxic = 1", "good": "quality = 1", "poor": "quality = 0"}
-MIX = {"toxic": 0.01, "good": 0.97, "poor": 0.02}
-SHARDS = 8
 # Rejected rows up to which their ids are broadcast (8 bytes each); beyond, documents are dealt by id.
 BROADCAST_IDS = 2_000_000
 
@@ -31,8 +30,10 @@ def _aside(docs: DataFrame):
 
 
 def _with_row_id(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.md5(text))))
+    """`docs` with `_row`, which tells rows apart: the id, or a number where ids repeat or are null."""
+    if unique_ids(docs, "doc_id"):
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    return with_row_ids(docs)
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -51,15 +52,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of smallest id stays."""
+    """Of each class of near duplicates the document of smallest id stays (where ids repeat, one of its documents)."""
     docs, back = _aside(docs)
     keyed = _with_row_id(docs)
-    classes = written(minhash.near_duplicates(keyed, id_col="_row"), "row-classes")
+    classes = minhash.near_duplicates(keyed, id_col="_row")
     others = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_row"))
-    kept = _without(keyed, others)
-    if classes.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = _with_row_id(kept).dropDuplicates(["_row"])  # rows that repeat an id repeat its text
-    return back(kept)
+    return back(_without(keyed, others))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ _NEVER = -(2**62)
 # Seconds from the first to the last timestamp there can be (years 1 to 9999), rounded up.
 _SPAN_SECS = 2**39
 # Rows of a group in which functions of blocks are put together, about.
-FAN_ROWS = 2**18
+FAN_ROWS = 2**21
 
 
 def with_fixed_period(rows: DataFrame, period_secs: int, *, ts: str = "ts", origin: int = 0) -> DataFrame:
