@@ -78,6 +78,7 @@ def test_whole_job(spark, tmp_path):
     assert text("alerts") == fixed.GAUGE_ALERTS
     assert text("report").startswith(fixed.REPORT)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "rejects")).collect()] == [("structure", 1)]
+    assert [(r.line, r.reason) for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()] == [("junk", "structure")]
     with pytest.raises(ValueError):
         analyse(spark, str(tmp_path / "in"), stats_period=0)
 

@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trafficlens.functions.clf import parse_clf
 from trafficlens.operators.gauge import alerts, traffic_crossings
@@ -17,11 +18,9 @@ from trafficlens.schema import (
 from trafficlens.session import shared_path, prepare
 from trafficlens.sources.text_log import (
     LineParser,
-    good_rows,
-    read_access_log,
     read_log,
-    rejects_by_reason,
-    write_access_log,
+    read_parsed_log,
+    write_parsed_log,
     write_text,
 )
 
@@ -29,14 +28,16 @@ from trafficlens.sources.text_log import (
 @dataclass
 class Analysis:
     log: DataFrame
+    rejected: DataFrame
     rejects: DataFrame
     report: DataFrame
     alerts: DataFrame
 
     def write(self, path: str) -> None:
-        """Report and alerts as text files in time order, rejects as a table."""
+        """Report and alerts as text files in time order; tables of rejected lines and of their number per reason."""
         write_text(self.report, f"{path}/report", order=["period_start", "line_no"])
         write_text(self.alerts, f"{path}/alerts", order=["bucket_ts"])
+        self.rejected.write.mode("overwrite").parquet(f"{path}/rejected")
         self.rejects.write.mode("overwrite").parquet(f"{path}/rejects")
 
 
@@ -50,7 +51,7 @@ def analyse(
     parser: LineParser = parse_clf,
     table: str | None = None,
 ) -> Analysis:
-    """Parse `path` once into a table by day, then report and judge traffic from that table.
+    """Parse `path` once into a table, good rows by day and malformed lines, and do all the rest from that table.
 
     `table` is where the parsed log is written (default: a fresh path in the shared folder).
     """
@@ -59,12 +60,13 @@ def analyse(
     prepare(spark)
     parsed = read_log(spark, path, parser)
     table = table or shared_path(spark, "access-log")
-    write_access_log(good_rows(parsed), table)
-    log = read_access_log(spark, table)
+    write_parsed_log(parsed, table)
+    log, rejected = read_parsed_log(spark, table, parsed.schema)
     crossed = traffic_crossings(log, gauge_period, threshold, anchored=True)
     return Analysis(
         log=log,
-        rejects=rejects_by_reason(parsed),
+        rejected=rejected,
+        rejects=rejected.groupBy("reason").agg(F.count("*").alias("n")),
         report=period_report(in_anchored_periods(log, stats_period), stats_period),
         alerts=alerts(crossed, threshold),
     )

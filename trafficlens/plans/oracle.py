@@ -184,6 +184,11 @@ _MULTI = " UNION ALL ".join(
     f"CAST(count(*) AS DOUBLE) / {n} AS rate, {_SUMS} FROM access_log GROUP BY 1, 2"
     for n in PERIOD_LENGTHS
 )
+_KEPT = " UNION ALL ".join(
+    f"SELECT {n} AS period_secs, {_at(_cell(n))} AS period_start, method, count(*) AS n, {_SUMS}, min(ts) AS from_ts "
+    "FROM access_log GROUP BY 1, 2, 3"
+    for n in (600, HOUR, DAY)
+)
 _ROLLUP = " UNION ALL ".join(
     f"SELECT {n} AS period_secs, {_at(_cell(n))} AS period_start, count(*) AS n, {_SUMS} FROM access_log GROUP BY 1, 2"
     for n in (600, 7200)
@@ -241,6 +246,7 @@ ORACLE: dict[str, str] = {
     ),
     "multi_period_stats": _with(_MULTI),
     "rollup_partials": _with(_ROLLUP),
+    "rollup_tables": _with(_KEPT),
     "bytes_in_out": _with(f"SELECT {_at('p')} AS period_start, bytes_in, bytes_out, bytes_total FROM ({_FACTS})"),
     "count_per_section": _count_per("section"),
     "count_per_method": _count_per("method"),

@@ -18,6 +18,7 @@ from trafficlens.plans.derived import access_log, load_events, log_lines
 from trafficlens.schema import ACCESS_LOG
 from trafficlens.session import prepare, shared_path, written
 from trafficlens.sources import text_log
+from trafficlens.sources.rollup_table import RollupTable
 from trafficlens.streaming import gauge as stream_gauge
 from trafficlens.streaming.live import Computation, LiveJob, Settings
 from trafficlens.streaming import stats as stream_stats
@@ -231,6 +232,20 @@ def rollup_partials(spark, sf_dir):
     return labelled(tens, 600).unionByName(labelled(longer, 7200))
 
 
+@query
+def rollup_tables(spark, sf_dir):
+    """Kept rollups: the rows in time, loaded twice as after a failure, then those that came late."""
+    log = _log(spark, sf_dir)
+    late = (F.col("ts") < F.lit(START_FROM).cast("timestamp")) & (F.col("event_id") % LATE_EVERY == 0)
+    kept = RollupTable(spark, shared_path(spark, "rollups"), levels=(600, HOUR, DAY), dims=["method"])
+    for name, rows in (("in-time", log.where(~late)), ("in-time", log.where(~late)), ("late", log.where(late))):
+        kept.load(name, rows)
+    labelled = lambda secs: kept.table(secs).select(
+        F.lit(secs).alias("period_secs"), "period_start", "method", "n", "bytes_in", "bytes_out", F.col("first_ts").alias("from_ts")
+    )
+    return labelled(600).unionByName(labelled(HOUR)).unionByName(labelled(DAY))
+
+
 @query
 def bytes_in_out(spark, sf_dir):
     return stats.period_stats(_hourly(spark, sf_dir), STATS_PERIOD).select(

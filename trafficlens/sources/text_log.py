@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trafficlens.functions.clf import parse_clf
 
@@ -115,6 +116,29 @@ def write_access_log(log: DataFrame, path: str, *, ts: str = "ts") -> None:
     )
 
 
+def write_parsed_log(parsed: DataFrame, path: str, *, ts: str = "ts") -> None:
+    """Write every parsed line from one pass: good rows by day as `write_access_log` does, malformed lines beside them."""
+    bad = F.col("reject_reason").isNotNull()
+    dated = parsed.withColumns({"is_rejected": bad, "log_date": F.when(~bad, F.to_date(F.col(ts)))})
+    # Only what a good row needs is kept of it: its text can be rendered again.
+    dated = dated.withColumn("line", F.when(bad, F.col("line")))
+    (
+        dated.hint("rebalance", "is_rejected", "log_date")
+        .sortWithinPartitions("is_rejected", "log_date", ts)
+        .write.mode("overwrite")
+        .partitionBy("is_rejected", "log_date")
+        .parquet(path)
+    )
+
+
+def read_parsed_log(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Good rows and rejected lines of `write_parsed_log`; `schema` is that of the parsed lines."""
+    whole = T.StructType([*schema, T.StructField("is_rejected", T.BooleanType()), T.StructField("log_date", T.DateType())])
+    table = spark.read.schema(whole).parquet(path)
+    good = table.where(~F.col("is_rejected")).drop("is_rejected", "reject_reason", "line", "file")
+    return good, rejected_lines(table.where("is_rejected"))
+
+
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
