@@ -14,8 +14,9 @@ the id is null they hold no id (nor does the metadata record); a null url is wri
 whose partners are missing give a capture with nulls; an empty table writes no records.
 """
 
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -123,27 +124,23 @@ def write_warc(captured: DataFrame, path: str, *, rows_per_file: int = ROWS_PER_
 
 
 def _records(stored: bytes) -> Iterator[tuple]:
-    """Records of one archive file, plain or in any number of gzip members."""
-    data = stored
+    """Records of one archive file, plain or in any number of gzip members. It is unpacked as it is read, so that
+    only one record is held beside the file as it is stored."""
+    data = io.BytesIO(stored)
     if stored[:2] == b"\x1f\x8b":
-        parts = []
-        while stored:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(stored))
-            stored = member.unused_data
-        data = b"".join(parts)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(EOL)
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        header = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        start, size = end + 4, int(header["content-length"])
-        block = data[start : start + size]
+        data = io.BufferedReader(gzip.GzipFile(fileobj=data), 1 << 20)
+    while version := data.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should begin")
+        header = {}
+        while (line := data.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().partition(":")
+            header[name.lower()] = value.strip()
+        size = int(header["content-length"])
+        block = data.read(size)
         if len(block) < size:
             raise ValueError("a record is cut off")
-        at = start + size + len(RECORD_END)
+        data.read(len(RECORD_END))
         kind = header["warc-type"]
         payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
         yield (
