@@ -87,7 +87,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rest, place, gram], ["doc_id", "text_key", "n_bytes", "whole_sha256", "places", "grams"])
 
 
-_CHUNK = "node long, gram long, at long, before binary, after binary, lo long, hi long"
+_CHUNK = "node long, gram long, n long, at long, before binary, after binary, lo long, hi long"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +100,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for one in asked:
                 at = one["at"]
                 before, after = text[max(0, at - LAST) : at], text[at : at + LENGTH]
-                seen.setdefault((before, after), []).append((at, one["gram"]))
+                seen.setdefault((before, after), []).append((at, one["gram"], one["n"]))
             for (before, after), places in seen.items():
-                rows.append((node, places[0][1], places[0][0], before, after, None, None))
+                at, gram, n = places[0]
+                rows.append((node, gram, n, at, before, after, None, None))
                 if len(places) > 1 and len(before) + len(after) >= LENGTH:
-                    rows += [(node, None, at, None, None, at - len(before), at + len(after)) for at, _ in places]
+                    rows += [(node, None, None, at, None, None, at - len(before), at + len(after)) for at, _, _ in places]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -281,17 +282,24 @@ def _sorted_out(rows: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def _spans(rows: DataFrame, most: int) -> DataFrame:
-    """Covered bytes from anchors `key, node, at, before, after` of equal grams."""
+    """Covered bytes from anchors `key, n, node, at, before, after` of equal grams, `n` of a key at most."""
     parts, todo = [], [(rows, 0, LAST, False)]
     while todo:
         now, low, high, folded = todo.pop()
-        counts = written(now.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "passage-counts")
-        hot = counts.where(F.col("n") > most).select("key")
-        few = now.join(counts.where(F.col("n") <= most).select("key"), "key")
-        parts.append(written(_sorted_out(few, low, high), "passage-spans"))
-        if not hot.limit(1).count():
-            continue
-        many = written(now.join(hot, "key"), "passage-anchors")
+        if "n" in now.columns:
+            # The bytes are dealt out once: how many there are of a gram is known from counting grams alone.
+            few, many = now.where(F.col("n") <= most), now.where(F.col("n") > most).drop("n")
+            parts.append(written(_sorted_out(few, low, high), "passage-spans"))
+            if not many.limit(1).count():
+                continue
+        else:
+            counts = written(now.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "passage-counts")
+            hot = counts.where(F.col("n") > most).select("key")
+            few = now.join(counts.where(F.col("n") <= most).select("key"), "key")
+            parts.append(written(_sorted_out(few, low, high), "passage-spans"))
+            if not hot.limit(1).count():
+                continue
+            many = written(now.join(hot, "key"), "passage-anchors")
         if not folded:
             met, rest = _folded(many, low, high)
             parts.append(met)
@@ -374,8 +382,9 @@ def _without(docs: DataFrame, most: int, keep_bytes: bool) -> DataFrame:
     )
     placed = texts.select("node", F.explode(F.arrays_zip("places", "grams")).alias("p"))
     placed = placed.select("node", F.col("p.places").alias("at"), F.col("p.grams").alias("gram"))
-    again = placed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    asked = written(placed.join(again, "gram").groupBy("node").agg(F.collect_list(F.struct("at", "gram")).alias("asked")), "passage-asked")
+    again = placed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    asked = placed.join(again, "gram").groupBy("node").agg(F.collect_list(F.struct("at", "gram", "n")).alias("asked"))
+    asked = written(asked, "passage-asked")
     # One row per distinct text: the one of the smallest id.
     named = rows.select(F.col("doc_id").alias("node"), "text")
     if asked.count() <= BROADCAST_IDS:
@@ -383,7 +392,7 @@ def _without(docs: DataFrame, most: int, keep_bytes: bool) -> DataFrame:
     wanted = written(named.join(asked, "node"), "passage-wanted")
 
     chunks = written(wanted.mapInArrow(_chunks, _CHUNK), "passage-chunks")
-    between = _spans(chunks.where("gram is not null").select(F.col("gram").alias("key"), "node", "at", "before", "after"), most)
+    between = _spans(chunks.where("gram is not null").select(F.col("gram").alias("key"), "n", "node", "at", "before", "after"), most)
     spans = chunks.where("gram is null").select("node", "lo", "hi").unionByName(between)
     covered = spans.groupBy("node").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     done = wanted.select("node", "text").join(covered, "node")
