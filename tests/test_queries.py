@@ -62,7 +62,11 @@ def test_scans_read_only_what_is_needed(spark):
     assert re.search(r"ReadSchema: struct<ts:timestamp_ntz>", plan)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"custom_period_pandas", "anchored_periods", "anchored_rows"}))
+# Of the live job's results the plan is that of reading its tables; running it again for that takes long.
+LIVE = {"stream_job", "stream_anchored_stats", "stream_flushed", "stream_late_rows", "stream_custom_period"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"custom_period_pandas", "anchored_periods", "anchored_rows"} - LIVE))
 def test_no_python_and_no_cross_join_in_the_plan(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", plan)

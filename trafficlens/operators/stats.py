@@ -101,13 +101,16 @@ def count_per(placed: DataFrame, dim: str, *, keys: Sequence[str] = ()) -> DataF
     )
 
 
-def all_dimensions(placed: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
-    """Period facts and the counts of all four dimensions in one pass and one shuffle.
+def all_dimensions(placed: DataFrame, *, keys: Sequence[str] = (), folded: bool = False) -> DataFrame:
+    """Period facts and the counts of all four dimensions in one pass over `placed`.
 
     `dim` is null on the facts row, else the dimension the row counts and `value` its value. Bytes
-    and first timestamp are those of the row's group.
+    and first timestamp are those of the row's group. Grouping sets repeat every row five times, so rows are folded
+    to one per period and combination of values first, unless they are `folded` already.
     """
     base = [*keys, "period_start_sec"]
+    if not folded:
+        placed = placed.groupBy(*base, *DIMENSIONS).agg(*_measures())
     sets = [base, *[[*base, d] for d in DIMENSIONS]]
     grouped = placed.groupingSets(
         [[F.col(c) for c in s] for s in sets], *[F.col(c) for c in [*base, *DIMENSIONS]]

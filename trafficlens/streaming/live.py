@@ -182,7 +182,7 @@ class LiveJob:
         return _union([of(secs) for secs in _lengths(self._history(self.last_batch() or 0))])
 
     def _lines(self, closed: DataFrame, history: list[Settings]) -> DataFrame:
-        of = lambda secs: all_dimensions(closed.where(F.col("period_secs") == secs), keys=self.keys)
+        of = lambda secs: all_dimensions(closed.where(F.col("period_secs") == secs), keys=self.keys, folded=True)
         return _union([report_lines(of(secs), secs, keys=self.keys) for secs in _lengths(history)])
 
     def alerts(self) -> DataFrame:
