@@ -79,7 +79,8 @@ def op5_mixing(spark, sf_dir):
 
 @query
 def op6_suffix_array_dedup(spark, sf_dir):
-    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    found = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return found.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 @query
