@@ -67,10 +67,10 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str], *,
         k = len(names)
         return Domains(names, np.ones(BUCKETS), np.zeros((BUCKETS, k)), np.zeros(k), np.full(k, 1 / k))
     prior = target.mean(axis=0).astype(np.float64)
-    told = [i for i, r in enumerate(found) if r["place"]]
+    told = [i for i, r in enumerate(found) if len(r["place"])]
     target = target[told]
     place = np.concatenate([np.array(found[i]["place"], dtype=np.int64) for i in told] or [np.zeros(0, dtype=np.int64)])
-    value = np.concatenate([1 + np.log(np.array(found[i]["count"])) for i in told] or [np.zeros(0)])
+    value = np.concatenate([1 + np.log(found[i]["count"].astype(np.float64)) for i in told] or [np.zeros(0)])
     idf = np.log((1 + len(found)) / (1 + np.bincount(place, minlength=BUCKETS))) + 1
     weights, bias = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
     if not told:

@@ -77,7 +77,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: dict[str, Colum
 
 
 def hashed_rows(sample: DataFrame, names: list[str]) -> list[dict]:
-    """The sample as bucket counts, for the driver: bounded by the sample's rows and the number of buckets."""
+    """The sample as bucket counts, for the driver: bounded by the sample's rows and the number of buckets. Buckets and
+    counts are views of the arrays they arrive in."""
 
     def run(batches):
         hasher = Hasher()
@@ -97,7 +98,12 @@ def hashed_rows(sample: DataFrame, names: list[str]) -> list[dict]:
             )
 
     schema = ", ".join(f"{n} double" for n in names) + ", place array<int>, count array<float>, tokens long"
-    return sample.mapInArrow(run, schema).toArrow().to_pylist()
+    found = sample.mapInArrow(run, schema).toArrow().combine_chunks()
+    columns = {n: found[n].to_pylist() for n in [*names, "tokens"]}
+    for n in ("place", "count"):
+        parts = [c for c in found[n].chunks if len(c)]
+        columns[n] = [v for c in parts for v in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1])]
+    return [dict(zip(columns, row)) for row in zip(*columns.values())]
 
 
 def _decompose(x: np.ndarray, dimensions: int) -> np.ndarray:
@@ -117,10 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int
     target = np.array([r["label"] for r in found], dtype=np.float64)
     x = np.zeros((len(found), BUCKETS), dtype=np.float32)
     for i, r in enumerate(found):
-        x[i, r["place"]] = 1 + np.log(np.array(r["count"], dtype=np.float32)) if r["place"] else 0
+        x[i, r["place"]] = 1 + np.log(r["count"])
     if not len(found):
         return Model(np.ones(BUCKETS), np.zeros((BUCKETS, 1), dtype=np.float32), np.zeros((0, 1)), target)
-    idf = np.log((1 + len(found)) / (1 + (x > 0).sum(axis=0))) + 1
+    texts_with = np.bincount(np.concatenate([r["place"] for r in found]), minlength=BUCKETS)
+    idf = np.log((1 + len(found)) / (1 + texts_with)) + 1
     x *= idf.astype(np.float32)
     size = np.linalg.norm(x, axis=1, keepdims=True)
     x /= np.where(size > 0, size, 1)
