@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int
     texts_with = np.bincount(np.concatenate([r["place"] for r in found]), minlength=BUCKETS)
     idf = np.log((1 + len(found)) / (1 + texts_with)) + 1
     x *= idf.astype(np.float32)
-    size = np.linalg.norm(x, axis=1, keepdims=True)
+    size = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]  # no second matrix of squares
     x /= np.where(size > 0, size, 1)
     projection = _decompose(x, dimensions)
     vectors = x @ projection
