@@ -137,7 +137,9 @@ def test_components_of_a_long_chain(spark):
 # --- decontamination -------------------------------------------------------------------------
 
 
-def test_decontamination_equals_brute_force(spark, documents, words):
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination_equals_brute_force(spark, documents, words, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     items = {i: words(12 + 3 * i, 900 + i) for i in range(8)} | {50: "too short", 51: None, 52: ""}
     docs = {i: words(80, 700 + i) for i in range(12)}
     for i in range(8):
@@ -162,6 +164,37 @@ def test_decontamination_equals_brute_force(spark, documents, words):
     assert rows(decontaminate.contaminated(table, bench.limit(0))) == []
 
 
+def test_dealt_windows_are_those_of_broadcast_items(spark, documents, words, monkeypatch):
+    items = spark.createDataFrame([(1, words(20, 1)), (2, words(35, 2)), (2, words(20, 1))], "item_id long, text string")
+    leak = f"{words(30, 5)} {words(20, 1)} {words(9, 6)} {words(35, 2)}"
+    docs = documents([(1, leak), (1, words(50, 8)), (None, leak), (2, leak), (2, leak), (3, None), (4, "")])
+    whole = decontaminate.contaminated(docs, items).collect()
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    dealt = decontaminate.contaminated(docs, items)
+    assert Counter(dealt.collect()) == Counter(whole) and {r["doc_id"] for r in whole} == {1, 2, None}
+
+
+def test_blocks_find_every_pair_within_the_radius_and_few_others(spark):
+    rng = random.Random(4)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [rng.getrandbits(64) for _ in range(40)]
+    near = []
+    for x in items:
+        for _ in range(5):
+            y = x
+            for bit in rng.sample(range(64), decontaminate.RADIUS):
+                y ^= 1 << bit
+            near.append(y)
+    far = [rng.getrandbits(64) for _ in range(200)]
+    theirs = spark.createDataFrame([(i, 30, 26, signed(x)) for i, x in enumerate(items)], "item_id long, n_words int, shingles long, print long")
+    schema = "content long, n_words int, shingles long, print long"
+    ours = spark.createDataFrame([(i, 30, 26, signed(x)) for i, x in enumerate(near + far)], schema)
+    met = decontaminate._met(ours, theirs, decontaminate.RADIUS).toPandas()
+    want = {(c, i) for c, y in enumerate(near + far) for i, x in enumerate(items) if (x ^ y).bit_count() <= decontaminate.RADIUS}
+    assert {(c, i) for c, i, d in zip(met["content"], met["item_id"], met["apart"]) if d <= decontaminate.RADIUS} == want
+    assert len(want) >= 200 and len(met[met["content"] >= len(near)]) < 0.2 * len(far) * len(items)
+
+
 def test_passages_with_moved_parts_are_found(spark, documents, words):
     items = {1: words(60, 41), 2: words(90, 42), 3: "so it is and " * 9 + words(40, 43)}
     part = lambda i, *cuts: " ".join(" ".join(items[i].split()[a:b]) for a, b in cuts)

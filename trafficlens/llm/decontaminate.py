@@ -6,9 +6,11 @@ ends with it. The latter are enough to find the most similar window of all, in w
 come: moved to the left, a window that neither starts the document nor ends with a shingle of the item loses
 none. Only windows that hold as many of the item's shingles as the threshold asks for are kept. Of equally
 similar places one with a shingle in its place goes first, then the earliest. Windows of equal content are folded. Windows and items of one
-length get 64-bit fingerprints (SimHash over shingles, weighted by counts); cut into RADIUS + 1 blocks, two
-fingerprints at most RADIUS bits apart agree in one block, so an equality join on blocks finds them all. Every
-such pair is then compared exactly, by the weighted Jaccard similarity of the shingles.
+length get 64-bit fingerprints (SimHash over shingles, weighted by counts), cut into BLOCKS blocks. Of two
+fingerprints at most RADIUS bits apart one block differs by at most a BLOCKS-th of them, rounded down, so the items,
+the bounded side, are listed under every block value that near to their own, and an equality join on blocks finds
+all pairs within the radius (and one unrelated pair in seven, before distances are compared). Every pair within it is
+then compared exactly, by the weighted Jaccard similarity of the shingles.
 
 Defined cases: null and empty texts hold nothing; items of fewer than five words have no shingle and are never
 found; documents shorter than an item are compared as a whole; repeated documents and items give rows of
@@ -25,6 +27,8 @@ from trafficlens.session import written
 BITS = 64
 # At the similarity of 0.8 fingerprints differ by 10 bits on average, with a standard deviation of 3.
 RADIUS = 19
+# Blocks of a fingerprint. Four of 16 bits with values up to 4 bits away: 2,517 of 65,536 values per block and item.
+BLOCKS = 4
 # Shingles of items up to which they are broadcast (32 bytes each); beyond, the join is dealt by shingle.
 BROADCAST_ROWS = 1_000_000
 
@@ -46,12 +50,30 @@ def _fingerprints(rows: DataFrame, key: list[str]) -> DataFrame:
     return counted.select(*key, "shingles", total.alias("print"))
 
 
-def _blocks(radius: int) -> Column:
+def _blocks() -> Column:
     """Value of every block of a fingerprint, with its number."""
-    count = radius + 1
-    edges = [round(i * BITS / count) for i in range(count + 1)]
-    value = lambda a, b: F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
-    return F.posexplode(F.array(*[value(a, b) for a, b in zip(edges, edges[1:])]))
+    width = BITS // BLOCKS
+    value = lambda at: F.shiftrightunsigned("print", at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return F.posexplode(F.array(*[value(i * width) for i in range(BLOCKS)])).alias("block", "value")
+
+
+def _near(radius: int) -> Column:
+    """All differences of a block in which two fingerprints within the radius may meet: constant, one per row."""
+    differences = [str(m) for m in range(1 << BITS // BLOCKS) if m.bit_count() <= radius // BLOCKS]
+    return F.explode(F.split(F.lit(",".join(differences)), ",").cast("array<bigint>")).alias("_off")
+
+
+def _met(ours: DataFrame, theirs: DataFrame, radius: int) -> DataFrame:
+    """Pairs of a window content (`ours`) and an item (`theirs`) that agree in a block, with `apart`, their distance;
+    a pair may come once per block."""
+    lengths = ours.select("n_words").distinct()
+    near = theirs.join(lengths, "n_words", "left_semi").select("item_id", "n_words", "print", "shingles", _blocks())
+    near = near.select("*", _near(radius)).withColumn("value", F.col("value").bitwiseXOR(F.col("_off"))).drop("_off")
+    own = ours.select("content", "n_words", F.col("print").alias("own"), F.col("shingles").alias("own_n"), _blocks())
+    return own.join(near, ["n_words", "block", "value"]).select(
+        "content", "n_words", "item_id", "own_n", F.col("shingles").alias("item_n"),
+        F.bit_count(F.col("own").bitwiseXOR(F.col("print"))).alias("apart"),
+    )
 
 
 def item_shingles(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -61,23 +83,52 @@ def item_shingles(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return read.select("item_id", "n_words", F.posexplode("_s").alias("at", "h"))
 
 
-def _windows(docs: DataFrame, places: DataFrame, known: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """`doc_id, start, n_words, aligned, content, window` for each place where an item may lie.
+def _laid(n_words: Column, own: Column, at: Column, count: Column) -> Column:
+    """The two places of a window whose shingle number `own`, of `count`, is number `at` of an item."""
+    width = n_words - (WORDS - 1)
+    begin = lambda start: F.greatest(F.lit(0), F.least(start, count - width))
+    return F.inline(
+        F.array(
+            F.struct(begin(own - at).alias("start"), F.lit(True).alias("aligned")),
+            F.struct(begin(own - width + 1).alias("start"), F.lit(False).alias("aligned")),
+        )
+    )
 
-    `places` has `h, item_id, n_words, at`; `known` the distinct shingles (`distinct`) of each item.
-    """
+
+def _places(docs: DataFrame, places: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`doc_id, n_words, distinct, start, aligned, window` for each shared shingle, items broadcast."""
     read = docs.select(F.col(id_col).alias("doc_id"), native_shingles(word_hashes(F.col(text_col))).alias("_s"))
     # The outer form keeps Spark from testing the size first, for which it would compute the array again.
     hits = read.select("doc_id", "_s", F.posexplode_outer("_s").alias("_at", "h"))
-    found = hits.join(places, "h").join(known, ["item_id", "n_words"])
+    found = hits.join(F.broadcast(places), "h").join(F.broadcast(known), ["item_id", "n_words"])
+    starts = _laid(F.col("n_words"), F.col("_at"), F.col("at"), F.size("_s"))
+    return found.select("doc_id", "_s", "n_words", "distinct", starts).select("*", _window()).drop("_s")
+
+
+def _window() -> Column:
+    return F.slice("_s", F.col("start") + 1, F.col("n_words") - (WORDS - 1)).alias("window")
+
+
+def _dealt_places(docs: DataFrame, places: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same, dealt by shingle: a shingle moves with its place and its text's digest only, and a text is fetched
+    once for all windows laid in it."""
+    digest = F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), text_col).alias("b")).alias("_text")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), digest, F.col(text_col).alias("_t"))
+    shingled = native_shingles(word_hashes(F.col("_t"))).alias("_s")
+    hits = texts.select("_text", shingled).select("_text", F.size("_s").alias("_n"), F.posexplode_outer("_s").alias("_at", "h"))
+    found = hits.join(places, "h")
+    starts = _laid(F.col("n_words"), F.col("_at"), F.col("at"), F.col("_n"))
+    starts = found.select("_text", "item_id", "n_words", starts)
+    starts = starts.groupBy("_text", "item_id", "n_words", "start").agg(F.max("aligned").alias("aligned"))
+    starts = written(starts, "leak-starts")
+    hit = texts.join(starts.select("_text").distinct(), "_text", "left_semi").select("doc_id", "_text", shingled)
+    cut = hit.join(starts, "_text").select("doc_id", "item_id", "n_words", "start", "aligned", _window())
+    return cut.join(known, ["item_id", "n_words"]).drop("item_id")
+
+
+def _windows(laid: DataFrame, threshold: float) -> DataFrame:
+    """`doc_id, start, n_words, aligned, content, window` for each place where an item may lie."""
     width = F.col("n_words") - (WORDS - 1)
-    begin = lambda at: F.greatest(F.lit(0), F.least(at, F.size("_s") - width))
-    starts = F.array(
-        F.struct(begin(F.col("_at") - F.col("at")).alias("start"), F.lit(True).alias("aligned")),
-        F.struct(begin(F.col("_at") - width + 1).alias("start"), F.lit(False).alias("aligned")),
-    )
-    laid = found.select("doc_id", "_s", "n_words", "distinct", F.inline(starts))
-    laid = laid.withColumn("window", F.slice("_s", F.col("start") + 1, width)).drop("_s")
     # Every shingle of the window may be shared as often as the item repeats it.
     shared = F.size(F.array_intersect("window", "distinct")) + width - F.size("distinct")
     least = threshold / (1 + threshold) * (F.size("window") + width) - 1e-6
@@ -96,22 +147,14 @@ def contaminated(
     listed = written(item_shingles(items, item_col, item_text_col), "leak-items")
     places = listed.select("h", "item_id", "n_words", "at").distinct()
     known = listed.groupBy("item_id", "n_words").agg(F.collect_set("h").alias("distinct"))
-    if listed.count() <= BROADCAST_ROWS:
-        places, known = F.broadcast(places), F.broadcast(known)
-    windows = written(_windows(docs, places, known, threshold, id_col, text_col), "leak-windows")
+    laid = _places if listed.count() <= BROADCAST_ROWS else _dealt_places
+    windows = written(_windows(laid(docs, places, known, id_col, text_col), threshold), "leak-windows")
 
     contents = windows.groupBy("content", "n_words").agg(F.first("window").alias("window"))
     laid = written(contents.select("content", "n_words", F.explode("window").alias("h")), "leak-shingles")
     ours = _fingerprints(laid, ["content", "n_words"])
     theirs = _fingerprints(listed, ["item_id", "n_words"])
-    blocks = _blocks(radius).alias("block", "value")
-    met = (
-        ours.select("content", "n_words", F.col("print").alias("own"), F.col("shingles").alias("own_n"), blocks)
-        .join(theirs.select("item_id", "n_words", "print", "shingles", blocks), ["n_words", "block", "value"])
-        .where(F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= radius)
-        .select("content", "n_words", "item_id", "own_n", F.col("shingles").alias("item_n"))
-        .distinct()
-    )
+    met = _met(ours, theirs, radius).where(F.col("apart") <= radius).drop("apart").distinct()
     own = laid.groupBy("content", "n_words", "h").agg(F.count("*").alias("own_c"))
     item = listed.groupBy("item_id", "n_words", "h").agg(F.count("*").alias("item_c"))
     shared = (
