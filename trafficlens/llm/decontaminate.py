@@ -69,6 +69,8 @@ def _met(ours: DataFrame, theirs: DataFrame, radius: int) -> DataFrame:
     lengths = ours.select("n_words").distinct()
     near = theirs.join(lengths, "n_words", "left_semi").select("item_id", "n_words", "print", "shingles", _blocks())
     near = near.select("*", _near(radius)).withColumn("value", F.col("value").bitwiseXOR(F.col("_off"))).drop("_off")
+    # Ten thousand rows per item are dealt by block value; few items would be broadcast, which takes the driver's memory.
+    near = near.hint("merge")
     own = ours.select("content", "n_words", F.col("print").alias("own"), F.col("shingles").alias("own_n"), _blocks())
     return own.join(near, ["n_words", "block", "value"]).select(
         "content", "n_words", "item_id", "own_n", F.col("shingles").alias("item_n"),
